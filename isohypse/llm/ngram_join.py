@@ -1,0 +1,339 @@
+"""Jaccard self-join of documents on word shingles, with token-combination prefixes.
+
+A document's tokens are the hashes of its distinct five-word shingles.  Documents with the
+same set are one class from the start; only classes are compared.
+
+1. A sketch of fixed size (one array of counters, summed over all tasks) estimates in how
+   many classes each token stands.  Tokens are ordered by that estimate, rare ones first;
+   any order gives right results, a good one gives few candidates.
+2. Two sets with overlap c share one of the first n - c + 1 tokens of each and two of the
+   first n - c + 2.  Rare tokens of the prefix are indexed singly.  Of the frequent tokens,
+   small sets index pairs out of the prefix that is longer by one; sets of `small_sets`
+   tokens or more, whose pairs would be many, index them singly; sets up to 5/4 of the
+   border do both, so that partners on its two sides meet.
+3. In each posting list, classes are linked to the smallest of a similar size, and these
+   links are verified against the texts.  Components of the links are found by label
+   propagation.  Then only pairs of one posting list that are still in different components
+   are verified, which completes the join without all pairs of a group of copies.
+
+Cases: a null text, or one without words, has no tokens, n_shingles 0 and a component of
+its own; one to four words are one token; a null doc_id has a null component unless its
+class has other ids; repeated rows are in one class; an empty table gives an empty table;
+columns that the operator doesn't name are not read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import _hashing as H
+from ._arrow import lists
+from ._packed import buckets, gathered, mapped, packed, unpacked
+from ._session import cut
+
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_SKETCH = 24  # bits: counters of the sketch
+_CHUNKS = 16
+
+
+def shingles(text: str | None, size: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    words = (text or "").encode().translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+    ends = np.flatnonzero(data == 32)
+    n = len(words) - size + 1
+    if n <= 1:
+        return H.ranges(H.prefix(data), np.zeros(1, np.int64), ends[-1:])
+    starts = np.r_[0, ends[: n - 1] + 1]
+    return np.unique(H.ranges(H.prefix(data), starts, ends[size - 1 :]))
+
+
+def signature(tokens: np.ndarray) -> int:
+    """The id of a set: a signed hash of its tokens."""
+    return xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63)
+
+
+def _least_overlap(n: int) -> int:
+    """Tokens that any set with Jaccard similarity of 0.8 shares with a set of n tokens."""
+    return -(-4 * n // 5)
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= 80 * (len(a) + len(b) - common)
+
+
+_SETS = "kind int, doc_id bigint, n bigint, class bigint, chunk int, block binary"
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """One pass: a row for each document (kind 0) and each task's part of the sketch (kind 1)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        counts, seen, part, waiting = np.zeros(1 << _SKETCH, np.uint8), set(), [], 0
+
+        def count() -> None:
+            slots, n = np.unique(np.concatenate(part), return_counts=True)
+            counts[slots] = np.minimum(counts[slots].astype(np.int64) + n, 255)
+            part.clear()
+
+        for batch in it:
+            ids, texts = lists(batch, "doc_id", "text")
+            ns, classes = [], []
+            for t in texts:
+                tokens = shingles(t)
+                ns.append(len(tokens))
+                classes.append(signature(tokens) if len(tokens) else None)
+                if len(tokens) and classes[-1] not in seen:
+                    seen.add(classes[-1])
+                    part.append(tokens & np.uint64((1 << _SKETCH) - 1))
+                    waiting += len(tokens)
+                    if waiting > 1_000_000:
+                        count()
+                        waiting = 0
+            none = [None] * len(ids)
+            yield {"kind": [0] * len(ids), "doc_id": ids, "n": ns, "class": classes, "chunk": none, "block": none}
+        if part:
+            count()
+        size, pack = len(counts) // _CHUNKS, zstandard.ZstdCompressor(level=1)
+        own = [(k, pack.compress(x.tobytes())) for k in range(_CHUNKS) if (x := counts[k * size : k * size + size]).any()]
+        none = [None] * len(own)
+        if own:
+            yield {"kind": [1] * len(own), "doc_id": none, "n": none, "class": none, "chunk": [k for k, _ in own], "block": [b for _, b in own]}
+
+    return mapped(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, _SETS)
+
+
+def _sketch(sets: DataFrame) -> tuple[np.ndarray, int]:
+    """Estimates as levels (a byte for each counter), and the level from which tokens are frequent."""
+    size = (1 << _SKETCH) // _CHUNKS
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        totals: dict[int, np.ndarray] = {}
+        unpack = zstandard.ZstdDecompressor()
+        for batch in it:
+            for k, b in zip(*lists(batch, "chunk", "block"), strict=True):
+                totals.setdefault(k, np.zeros(size, np.uint32))
+                totals[k] += np.frombuffer(unpack.decompress(b), np.uint8)
+        for k, x in totals.items():
+            yield {"chunk": [k], "total": [int(x.sum())], "levels": [np.minimum(255, 8 * np.log2(1.0 + x)).astype(np.uint8).tobytes()]}
+
+    levels, total = np.zeros(1 << _SKETCH, np.uint8), 0
+    parts = mapped(sets.where("kind = 1").select("chunk", "block").repartition(_CHUNKS, "chunk"), run, "chunk int, total bigint, levels binary")
+    for r in parts.collect():  # _CHUNKS rows, a byte for each counter in all
+        levels[r.chunk * size : r.chunk * size + size] = np.frombuffer(r.levels, np.uint8)
+        total += r.total
+    mean = total / (1 << _SKETCH)
+    return levels, int(8 * np.log2(1 + 64 + 4 * mean))
+
+
+def indexed(tokens: np.ndarray, levels: np.ndarray, frequent: int, small_sets: int) -> np.ndarray:
+    """The keys under which a set is indexed."""
+    n = len(tokens)
+    rank = levels[tokens & np.uint64((1 << _SKETCH) - 1)]
+    p = n - _least_overlap(n) + 1
+    order = np.lexsort((tokens, rank))[: min(n, p + 1)]
+    first, often = tokens[order[:p]], rank[order[:p]] >= frequent
+    out = [first[~often]]
+    if often.any():
+        if 5 * n >= 4 * small_sets:
+            out.append(first[often])
+        if n <= small_sets:
+            own = np.sort(tokens[order][rank[order] >= frequent])
+            a, b = np.triu_indices(len(own), 1)
+            out.append(H.mixed(own[a] * np.uint64(0x9E3779B97F4A7C15) + own[b]))
+    return np.unique(np.concatenate(out))
+
+
+def _postings(docs: DataFrame, levels, frequent: int, small_sets: int) -> DataFrame:
+    """Links to verify (kind 0: a, b) and posting lists of three and more classes (kind 1: key, class, n)."""
+    spark = docs.sparkSession
+    sent, n_buckets = spark.sparkContext.broadcast(levels), buckets(spark)
+
+    def send(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        seen, keys, classes, sizes, held = set(), [], [], [], 0
+
+        def flush() -> dict:
+            got = list(packed(np.concatenate(keys), [np.concatenate(classes), np.concatenate(sizes)], n_buckets))
+            for x in (keys, classes, sizes):
+                x.clear()
+            return {"bucket": [k for k, _ in got], "block": [b for _, b in got]}
+
+        for batch in it:
+            for t in lists(batch, "text")[0]:
+                tokens = shingles(t)
+                if not len(tokens) or (c := signature(tokens)) in seen:
+                    continue
+                seen.add(c)
+                own = indexed(tokens, sent.value, frequent, small_sets)
+                keys.append(own)
+                classes.append(np.full(len(own), c, np.int64))
+                sizes.append(np.full(len(own), len(tokens), np.uint32))
+                held += len(own)
+                if held > 3_000_000:
+                    yield flush()
+                    held = 0
+        if keys:
+            yield flush()
+
+    def meet(blocks: list[bytes]) -> Iterator[dict]:
+        key, cls, n = unpacked(blocks, [np.uint64, np.int64, np.uint32])
+        order = np.lexsort((cls, n, key))
+        key, cls, n = key[order], cls[order], n[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]
+        key, cls, n = key[new], cls[new], n[new].astype(np.int64)
+        edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        many = np.flatnonzero(np.diff(edges) > 1)
+        links, lists_, known = [], [], set()
+        for i in many.tolist():
+            a, b = int(edges[i]), int(edges[i + 1])
+            own, sizes = cls[a:b], n[a:b]
+            if (name := own.tobytes()) in known:  # the same classes under another key
+                continue
+            known.add(name)
+            at = 0
+            while at < len(own):  # the smallest, and those it can be similar to
+                end = int(np.searchsorted(sizes, sizes[at] * 5 // 4, "right"))
+                if end > at + 1:
+                    links.append(np.stack([np.full(end - at - 1, own[at]), own[at + 1 : end]]))
+                at = max(end, at + 1)
+            if len(own) > 2:
+                lists_.append((key[a], own, sizes))
+        if links:
+            pairs = np.unique(np.sort(np.concatenate(links, 1), 0), axis=1)
+            none = [None] * pairs.shape[1]
+            yield {"kind": [0] * len(none), "key": none, "a": pairs[0], "b": pairs[1], "n": none}
+        for k, own, sizes in lists_:
+            none = [None] * len(own)
+            yield {"kind": [1] * len(own), "key": np.full(len(own), k).view(np.int64), "a": own, "b": none, "n": sizes}
+
+    blocks = mapped(docs.select("text"), send, "bucket int, block binary")
+    return gathered(blocks, meet, "kind int, key bigint, a bigint, b bigint, n bigint")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class, text: compressed texts of the wanted classes, one of each."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        seen, pack = set(), zstandard.ZstdCompressor(level=3)
+        for batch in it:
+            classes, blocks = [], []
+            for t in lists(batch, "text")[0]:
+                tokens = shingles(t)
+                if len(tokens) and (c := signature(tokens)) not in seen:
+                    seen.add(c)
+                    classes.append(c)
+                    blocks.append(pack.compress(t.encode()))
+            yield {"class": classes, "block": blocks}
+
+    all_texts = mapped(docs.select("text"), run, "class bigint, block binary")
+    return all_texts.join(wanted, "class", "left_semi").dropDuplicates(["class"])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are linked."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        unpack, sets = zstandard.ZstdDecompressor(), {}
+
+        def tokens(c: int, block: bytes) -> np.ndarray:
+            if c not in sets:
+                if len(sets) > 500:
+                    sets.clear()
+                sets[c] = shingles(unpack.decompress(block).decode())
+            return sets[c]
+
+        for batch in it:
+            rows = zip(*lists(batch, "a", "b", "left", "right"), strict=True)
+            good = [(a, b) for a, b, x, y in rows if linked(tokens(a, x), tokens(b, y))]
+            yield {"a": [a for a, _ in good], "b": [b for _, b in good]}
+
+    both = pairs.join(texts.select(F.col("class").alias("a"), F.col("block").alias("left")), "a")
+    both = both.join(texts.select(F.col("class").alias("b"), F.col("block").alias("right")), "b")
+    return mapped(both.select("a", "b", "left", "right"), run, "a bigint, b bigint")
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """node, root: the smallest node of each node's component, by label propagation with shortcuts."""
+    links = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct())
+    roots = cut(links.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("root")).withColumnRenamed("u", "node"))
+    while True:
+        near = links.join(roots, links["v"] == roots["node"]).groupBy("u").agg(F.min("root").alias("near"))
+        step = roots.join(near, roots["node"] == near["u"]).select("node", "root", F.least("root", "near").alias("next"))
+        jump = roots.select(F.col("node").alias("via"), F.col("root").alias("far"))
+        step = step.join(jump, step["next"] == jump["via"], "left").select("node", F.least("next", F.coalesce("far", "next")).alias("new"), "root")
+        step = cut(step)
+        changed = step.where("new <> root").limit(1).count()
+        roots = step.select("node", F.col("new").alias("root"))
+        if not changed:
+            return roots
+
+
+def _joined(docs: DataFrame, small_sets: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with classes, all verified links, and components of linked classes."""
+    sets = cut(_sets(docs))
+    levels, frequent = _sketch(sets)
+    found = cut(_postings(docs, levels, frequent, small_sets))
+    pairs = cut(found.where("kind = 0").select("a", "b").distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).union(found.where("kind = 1").select(F.col("a").alias("class"))).distinct()
+    texts = cut(_texts(docs, wanted))
+    links = cut(_verified(pairs, texts))
+    roots = connected(links)
+    # what is left: members of one posting list in different components
+    post = found.where("kind = 1").select("key", F.col("a").alias("class"), "n")
+    post = post.join(roots, post["class"] == roots["node"], "left").select("key", "class", "n", F.coalesce("root", "class").alias("root"))
+    open_keys = post.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    post = cut(post.join(open_keys, "key", "left_semi"))
+    other = post.select(F.col("key").alias("key2"), F.col("class").alias("b"), F.col("n").alias("m"), F.col("root").alias("root2"))
+    rest = post.join(other, (post["key"] == other["key2"]) & (post["class"] < other["b"]) & (post["root"] != other["root2"]) & (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")))
+    rest = rest.select(F.col("class").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    more = cut(_verified(rest, texts))
+    if more.limit(1).count():
+        links = cut(links.union(more))
+        roots = connected(links)
+    return sets.where("kind = 0").select("doc_id", "n", "class"), links, roots
+
+
+def components(docs: DataFrame, small_sets: int = 64) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, class, n_links (different texts linked with)."""
+    rows, links, roots = _joined(docs, small_sets)
+    classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("low"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
+    by_root = classes.join(roots, classes["class"] == roots["node"], "left").withColumn("root", F.coalesce("root", "class"))
+    lowest = by_root.groupBy("root").agg(F.min("low").alias("component_id"))
+    by_class = by_root.join(lowest, "root").join(degree, F.col("class") == F.col("c"), "left").select(F.col("class").alias("of"), "component_id", "n_links")
+    out = rows.join(by_class, rows["class"] == by_class["of"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def representatives(docs: DataFrame, small_sets: int = 64, max_sent: int = 2_000_000) -> DataFrame:
+    """Of each component the document with the smallest doc_id, with all columns."""
+    judged = cut(components(docs, small_sets).select("doc_id", "component_id"))
+    gone = judged.where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
+    repeated = judged.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if repeated.limit(1).count():  # rows that share an id: of those with one text one stays
+        twice = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+        docs = docs.join(repeated, "doc_id", "left_anti").select(docs.columns).union(twice)
+    if gone.count() > max_sent:
+        return docs.join(gone.withColumnRenamed("doc_id", "_gone"), docs["doc_id"] == F.col("_gone"), "left_anti")
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.doc_id for r in gone.collect()], np.int64)))
+
+    def kept(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            ids = lists(batch, "doc_id")[0]
+            known = np.array([x or 0 for x in ids], np.int64)
+            stays = ~np.isin(known, sent.value) | np.array([x is None for x in ids])
+            yield batch.filter(pa.array(stays))
+
+    return docs.mapInArrow(kept, docs.schema)

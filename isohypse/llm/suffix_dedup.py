@@ -1,0 +1,417 @@
+"""Removal of repeated byte strings: prefix-free parsing with suffix arrays of the dictionary.
+
+Texts are byte strings; every byte that a string of `width` (50) bytes covers which also
+starts in a document with a smaller doc_id is removed.
+
+1. Triggers.  Each window of 50 bytes is named by its trigger, the smallest rolling hash of
+   24 bytes inside it.  Equal windows have equal triggers, and neighbouring windows mostly
+   share one, so that triggers cut a text into phrases (runs of windows of one trigger).
+   Phrases overlap by 49 bytes, so no string to be compared reaches beyond its phrase.
+2. Triggers are counted by row.  Only phrases whose trigger stands in two rows or more can
+   repeat; the others are left where they are.
+3. The phrases that are left make the dictionary, each with the smallest doc_id it stands
+   in; their places in the texts are the parse.  The dictionary is cut by trigger, and each
+   part's suffix array (of suffixes of 50 bytes and more) puts equal strings side by side:
+   in each group of strings with 50 bytes in common, every doc_id but the smallest repeats.
+   The parse carries the answers back to the texts.  Since phrases hold whole windows, the
+   order among equal 50-byte prefixes never matters, and the parse's own suffix array,
+   which would settle it, isn't needed.
+
+Before each shuffle, rows of a task that have the same trigger or phrase are combined (two
+rows, or the smallest doc_id, are sent; the others' answer is known and passed on), so that
+a text with any number of copies sends a bounded number of records from each task.
+
+Cases: a null text is empty; a row with a null doc_id is left whole and removes nothing;
+rows that share a doc_id don't remove from each other; texts under 50 bytes are left whole;
+an empty table gives an empty table; columns that the operator doesn't name are not read.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import _hashing as H
+from ._arrow import lists
+from ._packed import buckets, mapped, tasks
+
+_TRIGGER = 24
+_ROWS = "bucket int, kind int, row bigint, doc_id bigint, block binary"
+_TRIGGERS, _SHARED, _TEXT, _PHRASES, _MASKS = range(5)
+_FLUSH = 2_000_000
+_NAME = (1 << 48) - 1
+
+
+def triggers(data: np.ndarray, width: int) -> np.ndarray:
+    """The trigger of each window of that many bytes: sliding minima of rolling hashes."""
+    low = H.rolling(H.prefix(data), _TRIGGER)
+    span = width - _TRIGGER + 1
+    if len(low) < span:
+        return np.zeros(0, np.uint64)
+    size = 1
+    while size * 2 <= span:
+        low = np.minimum(low[:-size], low[size:])
+        size *= 2
+    rest = span - size
+    return np.minimum(low[:-rest], low[rest:]) if rest else low
+
+
+def row_key(doc_id: int, data: bytes) -> int:
+    """Names a row by its content, so that it can be found again after any retry."""
+    return xxhash.xxh64_intdigest(data, seed=doc_id & ((1 << 63) - 1)) - (1 << 63)
+
+
+def _bucket(key: np.ndarray, n: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+
+
+def _row_bucket(row: np.ndarray, n: int) -> np.ndarray:
+    """By the lower 48 bits of a row's name, all that is sent with triggers."""
+    return _bucket((row.view(np.uint64) & np.uint64(_NAME)) << np.uint64(16), n)
+
+
+def _blocks(bucket: np.ndarray, arrays: list[np.ndarray], level: int = 1) -> Iterator[tuple[int, bytes]]:
+    """Records, sorted by bucket already, as a block for each bucket: arrays by byte places."""
+    if not len(bucket):
+        return
+    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+    pack = zstandard.ZstdCompressor(level=level)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        raw = [np.uint32(b - a).tobytes()]
+        for x in arrays:
+            raw.append(np.ascontiguousarray(np.ascontiguousarray(x[a:b]).view(np.uint8).reshape(b - a, -1).T).tobytes())
+        yield int(bucket[a]), pack.compress(b"".join(raw))
+
+
+def _unpack(block: bytes, widths: tuple[int, ...]) -> list[np.ndarray]:
+    """The arrays (bytes, one row a record) of a block."""
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    n, at, out = int(np.frombuffer(raw, np.uint32, 1)[0]), 4, []
+    for w in widths:
+        out.append(np.frombuffer(raw, np.uint8, n * w, at).reshape(w, n).T)
+        at += n * w
+    return out
+
+
+def _wide(x: np.ndarray) -> np.ndarray:
+    """Little-endian bytes, one row a number, as unsigned numbers."""
+    out = np.zeros((len(x), 8), np.uint8)
+    out[:, : x.shape[1]] = x
+    return out.view(np.uint64).reshape(len(x))
+
+
+def _narrow(x: np.ndarray, width: int) -> np.ndarray:
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), 8)[:, :width]
+
+
+def _sent(kind: int, blocks: list[tuple[int, bytes]]) -> dict:
+    none = [None] * len(blocks)
+    return {"bucket": [k for k, _ in blocks], "kind": [kind] * len(blocks), "row": none, "doc_id": none, "block": [b for _, b in blocks]}
+
+
+# ---- triggers ----------------------------------------------------------------------------
+
+
+def _shared(row: np.ndarray, key: np.ndarray, n: int) -> dict:
+    """Says to rows which of their triggers are shared: (row, lower half of the trigger)."""
+    order = np.argsort(_row_bucket(row, n), kind="stable")
+    row, low = row[order], (key[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return _sent(_SHARED, list(_blocks(_row_bucket(row, n), [row, low])))
+
+
+def _send_triggers(width: int, n: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        keys, rows, held = [], [], 0
+
+        def flush() -> Iterator[dict]:
+            key, row = np.concatenate(keys), np.concatenate(rows)
+            keys.clear(), rows.clear()
+            order = np.lexsort((row, key))
+            key, row = key[order], row[order]
+            new = np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])]
+            key, row = key[new], row[new]
+            begin = np.r_[True, key[1:] != key[:-1]]
+            place = np.arange(len(key)) - np.flatnonzero(begin)[np.cumsum(begin) - 1]
+            known = place >= 2  # two rows are enough for the others to be told of
+            yield _sent(_TRIGGERS, list(_blocks(_bucket(key[~known], n), [_narrow(key[~known], 6), _narrow(row[~known].view(np.uint64), 6)])))
+            if known.any():
+                passed = _shared(row[known], key[known], n)
+                yield passed | {"bucket": [(k * 7 + 3) % n for k in passed["bucket"]], "row": passed["bucket"]}  # on the way, `row` holds the bucket
+
+        for batch in it:
+            for doc_id, text in zip(*lists(batch, "doc_id", "text"), strict=True):
+                if doc_id is None or not text:
+                    continue
+                data = text.encode()
+                own = np.unique(triggers(np.frombuffer(data, np.uint8), width))
+                if len(own):
+                    keys.append(own)
+                    rows.append(np.full(len(own), row_key(doc_id, data), np.int64))
+                    held += len(own)
+                    if held > _FLUSH:
+                        yield from flush()
+                        held = 0
+        if keys:
+            yield from flush()
+
+    return run
+
+
+def _find_shared(n: int):
+    """Triggers of two rows or more.  Rows go by 48 bits of their names up to here."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        by: dict[int, list[bytes]] = {}
+        for batch in it:
+            for bucket, kind, to, block in zip(*lists(batch, "bucket", "kind", "row", "block"), strict=True):
+                if kind == _SHARED:
+                    yield _sent(_SHARED, [(to, block)])
+                else:
+                    by.setdefault(bucket, []).append(block)
+        for bucket in sorted(by):
+            parts = [_unpack(b, (6, 6)) for b in by.pop(bucket)]
+            key, row = (_wide(np.concatenate([p[k] for p in parts])) for k in (0, 1))
+            order = np.argsort(key, kind="stable")
+            key, row = key[order], row[order]
+            edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+            low, high = np.minimum.reduceat(row, edges[:-1]), np.maximum.reduceat(row, edges[:-1])
+            shared = np.repeat(low != high, np.diff(edges))
+            if shared.any():
+                yield _shared(row[shared].view(np.int64), key[shared], n)
+
+    return run
+
+
+# ---- phrases -----------------------------------------------------------------------------
+
+
+def _texts(docs: DataFrame, n: int) -> DataFrame:
+    """The texts, compressed, each to the bucket of its row."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in it:
+            ids, texts = lists(batch, "doc_id", "text")
+            data = [(t or "").encode() for t in texts]
+            rows = [row_key(i or 0, d) for i, d in zip(ids, data, strict=True)]
+            bucket = _row_bucket(np.array(rows, np.int64), n)
+            yield {"bucket": bucket.astype(np.int64).tolist(), "kind": [_TEXT] * len(ids), "row": rows, "doc_id": ids, "block": [pack.compress(d) for d in data]}
+
+    return mapped(docs, run, _ROWS)
+
+
+def _by_bucket(it: Iterator[pa.RecordBatch], passed: int | None) -> Iterator[tuple[int, list]]:
+    """(bucket, [(kind, row, doc_id, block)]); first, as (-1, ...), what is only passed on."""
+    by: dict[int, list] = {}
+    for batch in it:
+        for bucket, *rest in zip(*lists(batch, "bucket", "kind", "row", "doc_id", "block"), strict=True):
+            if rest[0] == passed:
+                yield -1, rest
+            else:
+                by.setdefault(bucket, []).append(rest)
+    for bucket in sorted(by):
+        yield bucket, by.pop(bucket)
+
+
+def _send_phrases(width: int, n: int):
+    """Of each row's shared triggers the phrases: the dictionary's entries and their places."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        entries: dict[tuple[int, bytes], list] = {}  # (trigger, phrase) -> [smallest doc_id, [(row, place)]]
+        masks: list[tuple[int, int, int]] = []  # (row, place, windows) of what a smaller doc_id is known for
+        unpack = zstandard.ZstdDecompressor()
+
+        def flush() -> Iterator[dict]:
+            key, doc, row, place, text = [], [], [], [], []
+            for (trigger, phrase), (doc_id, places) in entries.items():
+                for r, p in places:
+                    key.append(trigger)
+                    doc.append(doc_id)
+                    row.append(r)
+                    place.append(p)
+                    text.append(phrase)
+            entries.clear()
+            if key:
+                yield from _phrase_blocks(np.array(key, np.uint64), np.array(doc, np.int64), np.array(row, np.int64), np.array(place, np.uint32), text, n)
+            if masks:
+                passed = _mask_blocks(np.array([m[0] for m in masks], np.int64), np.array([m[1] for m in masks], np.uint32), np.array([m[2] for m in masks], np.uint64), n)
+                yield passed | {"bucket": [(k * 7 + 3) % n for k in passed["bucket"]], "row": passed["bucket"]}
+                masks.clear()
+
+        held = 0
+        for _, own in _by_bucket(it, None):
+            told = [_unpack(b, (8, 4)) for kind, _, _, b in own if kind == _SHARED]
+            if not told:
+                continue
+            rows = _wide(np.concatenate([t[0] for t in told])) & np.uint64(_NAME)
+            low = _wide(np.concatenate([t[1] for t in told]))
+            order = np.argsort(rows, kind="stable")
+            rows, low = rows[order], low[order]
+            done = set()
+            for kind, row, doc_id, block in own:
+                if kind != _TEXT or doc_id is None or row in done:
+                    continue
+                done.add(row)
+                a, b = np.searchsorted(rows, np.uint64(row & _NAME), "left"), np.searchsorted(rows, np.uint64(row & _NAME), "right")
+                if a == b:
+                    continue
+                data = unpack.decompress(block)
+                m = triggers(np.frombuffer(data, np.uint8), width)
+                on = np.isin(m & np.uint64(0xFFFFFFFF), low[a:b])
+                edges = np.flatnonzero(np.r_[True, m[1:] != m[:-1], True])
+                for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    if not on[s]:
+                        continue
+                    # a long stretch of one trigger (a repeated byte) is cut, so that masks fit 64 bits
+                    for at in range(s, e, 64):
+                        end = min(e, at + 64)
+                        phrase = data[at : end + width - 1]
+                        got = entries.setdefault((int(m[s]), phrase), [doc_id, []])
+                        if doc_id == got[0]:
+                            got[1].append((row, at))
+                        elif doc_id > got[0]:
+                            masks.append((row, at, (1 << (end - at)) - 1))
+                        else:
+                            full = (1 << (end - at)) - 1
+                            masks.extend((r, p, full) for r, p in got[1])
+                            got[0], got[1] = doc_id, [(row, at)]
+                        held += 1
+                if held > 400_000:
+                    yield from flush()
+                    held = 0
+        yield from flush()
+
+    return run
+
+
+def _phrase_blocks(key, doc, row, place, text: list[bytes], n: int) -> Iterator[dict]:
+    order = np.argsort(key, kind="stable")
+    bucket = _bucket(key[order], n)
+    sizes = np.array([len(text[i]) for i in order.tolist()], np.uint8)
+    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+    pack, out = zstandard.ZstdCompressor(level=3), []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own = order[a:b]
+        head = b"".join(x.tobytes() for x in (np.uint32(b - a), doc[own], row[own], place[own], sizes[a:b]))
+        out.append((int(bucket[a]), pack.compress(head + b"".join(text[i] for i in own.tolist()))))
+    yield _sent(_PHRASES, out)
+
+
+def _mask_blocks(row, place, mask, n: int) -> dict:
+    order = np.argsort(_row_bucket(row, n), kind="stable")
+    row, place, mask = row[order], place[order], mask[order]
+    return _sent(_MASKS, list(_blocks(_row_bucket(row, n), [row, place, mask])))
+
+
+def repeated(phrases: list[bytes], docs: np.ndarray, width: int) -> np.ndarray:
+    """For each phrase a mask of the windows that also stand with a smaller doc_id.
+
+    The suffix array of the dictionary's part: all suffixes of `width` bytes and more, in
+    the order of their first `width` bytes.
+    """
+    data = np.frombuffer(b"".join(phrases), np.uint8)
+    sizes = np.array([len(p) for p in phrases])
+    counts = sizes - width + 1
+    first = np.r_[0, np.cumsum(sizes)[:-1]]
+    owner = np.repeat(np.arange(len(phrases)), counts)
+    offset = np.arange(counts.sum()) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)
+    start = first[owner] + offset
+    heads = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, width)[start]).view(f"S{width}").reshape(-1)
+    array = np.argsort(heads, kind="stable")
+    ordered = heads[array]
+    edges = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    lowest = np.minimum.reduceat(docs[owner[array]], edges)
+    again = docs[owner[array]] > np.repeat(lowest, np.diff(np.r_[edges, len(array)]))
+    bits = np.where(again, np.uint64(1) << offset[array].astype(np.uint64), np.uint64(0))
+    out = np.zeros(len(phrases), np.uint64)
+    np.bitwise_or.at(out, owner[array], bits)
+    return out
+
+
+def _sort_suffixes(width: int, n: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        unpack = zstandard.ZstdDecompressor()
+        for bucket, own in _by_bucket(it, _MASKS):
+            if bucket < 0:
+                yield _sent(_MASKS, [(own[1], own[3])])
+                continue
+            docs, rows, places, phrases = [], [], [], []
+            for _, _, _, block in own:
+                raw = unpack.decompress(block)
+                k, at = int(np.frombuffer(raw, np.uint32, 1)[0]), 4
+                for into, kind in ((docs, np.int64), (rows, np.int64), (places, np.uint32)):
+                    into.append(np.frombuffer(raw, kind, k, at))
+                    at += k * np.dtype(kind).itemsize
+                sizes = np.frombuffer(raw, np.uint8, k, at)
+                at += k
+                for s in sizes.tolist():
+                    phrases.append(raw[at : at + s])
+                    at += s
+            doc, row, place = np.concatenate(docs), np.concatenate(rows), np.concatenate(places)
+            mask = repeated(phrases, doc, width)
+            on = mask > 0
+            if on.any():
+                yield _mask_blocks(row[on], place[on], mask[on], n)
+
+    return run
+
+
+# ---- the texts again ---------------------------------------------------------------------
+
+_OUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+
+
+def _remove(width: int, with_kept: bool):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        unpack = zstandard.ZstdDecompressor()
+        for _, own in _by_bucket(it, None):
+            told = [_unpack(b, (8, 4, 8)) for kind, _, _, b in own if kind == _MASKS]
+            rows, place, mask = (_wide(np.concatenate([t[k] for t in told])) if told else np.zeros(0, np.uint64) for k in range(3))
+            rows = rows.view(np.int64)
+            order = np.argsort(rows, kind="stable")
+            rows, place, mask = rows[order], place[order].astype(np.int64), mask[order]
+            out: dict = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+            for kind, row, doc_id, block in own:
+                if kind != _TEXT:
+                    continue
+                data = unpack.decompress(block)
+                a, b = int(np.searchsorted(rows, row, "left")), int(np.searchsorted(rows, row, "right"))
+                spans, kept = 0, data
+                if a < b and doc_id is not None:
+                    bits = (mask[a:b, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1) > 0
+                    which, bit = np.nonzero(bits)
+                    edge = np.zeros(len(data) + 1, np.int32)
+                    starts = np.unique(place[a:b][which] + bit)
+                    np.add.at(edge, starts, 1)
+                    np.add.at(edge, starts + width, -1)
+                    gone = np.cumsum(edge[:-1]) > 0
+                    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                for name, x in zip(out, (doc_id, len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_kept else None), strict=True):
+                    out[name].append(x)
+            if out["doc_id"]:
+                yield out
+
+    return run
+
+
+def dedup(docs: DataFrame, width: int = 50, with_kept: bool = False) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes)."""
+    if not _TRIGGER < width <= 128:
+        raise ValueError(f"width must be over {_TRIGGER} and at most 128")
+    spark = docs.sparkSession
+    n, p = buckets(spark), tasks(spark)
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    deal = lambda df: df.repartition(p, "bucket")
+    shared = mapped(deal(mapped(own, _send_triggers(width, n), _ROWS)), _find_shared(n), _ROWS)
+    phrases = mapped(deal(shared.union(_texts(own, n))), _send_phrases(width, n), _ROWS)
+    masks = mapped(deal(phrases), _sort_suffixes(width, n), _ROWS)
+    out = mapped(deal(masks.union(_texts(own, n))), _remove(width, with_kept), _OUT)
+    return out if with_kept else out.drop("kept")
