@@ -14,7 +14,9 @@ same set are one class from the start; only classes are compared.
 3. In each posting list, classes are linked to the smallest of a similar size, and these
    links are verified against the texts.  Components of the links are found by label
    propagation.  Then only pairs of one posting list that are still in different components
-   are verified, which completes the join without all pairs of a group of copies.
+   are verified, which completes the join without all pairs of a group of copies.  Bitmaps
+   of the sets rule out most of these first: a bit that only one set has is a token that
+   isn't shared.
 
 Cases: a null text, or one without words, has no tokens, n_shingles 0 and a component of
 its own; one to four words are one token; a null doc_id has a null component unless its
@@ -30,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _hashing as H
@@ -222,22 +224,41 @@ def _postings(docs: DataFrame, levels, frequent: int, small_sets: int) -> DataFr
     return gathered(blocks, meet, "kind int, key bigint, a bigint, b bigint, n bigint")
 
 
+_WORDS = 16  # of 64 bits: a set's bitmap
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """A set's bits: a token sets one of them."""
+    bits = np.zeros(64 * _WORDS, np.uint8)
+    bits[(tokens >> np.uint64(20)) & np.uint64(64 * _WORDS - 1)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def _can_link() -> Column:
+    """Whether bitmaps leave room for a link: each bit of one set alone is a token that isn't shared."""
+    lost = lambda x, y: sum((F.bit_count(F.col(f"{x}{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}{k}")))) for k in range(_WORDS)), F.lit(0))
+    least = F.lit(4) * (F.col("n") + F.col("m"))  # nine times the least overlap of a link
+    return (9 * (F.col("n") - lost("p", "q")) >= least) & (9 * (F.col("m") - lost("q", "p")) >= least)
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class, text: compressed texts of the wanted classes, one of each."""
+    """class, block, p0...: compressed texts and bitmaps of the wanted classes, one of each."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         seen, pack = set(), zstandard.ZstdCompressor(level=3)
         for batch in it:
-            classes, blocks = [], []
+            classes, blocks, bits = [], [], []
             for t in lists(batch, "text")[0]:
                 tokens = shingles(t)
                 if len(tokens) and (c := signature(tokens)) not in seen:
                     seen.add(c)
                     classes.append(c)
                     blocks.append(pack.compress(t.encode()))
-            yield {"class": classes, "block": blocks}
+                    bits.append(bitmap(tokens))
+            by_word = np.array(bits, np.int64).reshape(-1, _WORDS).T
+            yield {"class": classes, "block": blocks, **{f"p{k}": by_word[k] for k in range(_WORDS)}}
 
-    all_texts = mapped(docs.select("text"), run, "class bigint, block binary")
+    all_texts = mapped(docs.select("text"), run, "class bigint, block binary, " + ", ".join(f"p{k} bigint" for k in range(_WORDS)))
     return all_texts.join(wanted, "class", "left_semi").dropDuplicates(["class"])
 
 
@@ -294,10 +315,11 @@ def _joined(docs: DataFrame, small_sets: int) -> tuple[DataFrame, DataFrame, Dat
     post = found.where("kind = 1").select("key", F.col("a").alias("class"), "n")
     post = post.join(roots, post["class"] == roots["node"], "left").select("key", "class", "n", F.coalesce("root", "class").alias("root"))
     open_keys = post.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    post = cut(post.join(open_keys, "key", "left_semi"))
-    other = post.select(F.col("key").alias("key2"), F.col("class").alias("b"), F.col("n").alias("m"), F.col("root").alias("root2"))
-    rest = post.join(other, (post["key"] == other["key2"]) & (post["class"] < other["b"]) & (post["root"] != other["root2"]) & (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")))
-    rest = rest.select(F.col("class").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    bits = [f"p{k}" for k in range(_WORDS)]
+    post = cut(post.join(open_keys, "key", "left_semi").join(texts.select("class", *bits), "class"))
+    other = post.select(F.col("key").alias("key2"), F.col("class").alias("b"), F.col("n").alias("m"), F.col("root").alias("root2"), *[F.col(k).alias(f"q{k[1:]}") for k in bits])
+    rest = post.join(other, (post["key"] == other["key2"]) & (post["class"] < other["b"]) & (post["root"] != other["root2"]) & (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")) & _can_link())
+    rest = cut(rest.select(F.col("class").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"))
     more = cut(_verified(rest, texts))
     if more.limit(1).count():
         links = cut(links.union(more))
