@@ -45,7 +45,7 @@ from ._packed import buckets, mapped, tasks
 _TRIGGER = 24
 _ROWS = "bucket int, kind int, row bigint, doc_id bigint, block binary"
 _TRIGGERS, _SHARED, _TEXT, _PHRASES, _MASKS = range(5)
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
 _NAME = (1 << 48) - 1
 
 
@@ -283,7 +283,7 @@ def _send_phrases(width: int, n: int):
                             masks.extend((r, p, full) for r, p in got[1])
                             got[0], got[1] = doc_id, [(row, at)]
                         held += 1
-                if held > 400_000:
+                if held > 80_000:
                     yield from flush()
                     held = 0
         yield from flush()
