@@ -1,0 +1 @@
+"""Geographic features and rasters as DataFrames."""
