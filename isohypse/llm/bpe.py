@@ -250,7 +250,7 @@ class Coder:
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.hex, i)), ""))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", frequent: int = 65536) -> tuple[DataFrame, Coder]:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", frequent: int = 100_000) -> tuple[DataFrame, Coder]:
     """Adds the ids of every whole text; also returns the coder, for decoding.
 
     `frequent` bounds the literal table of pieces that are folded once; it does not change
@@ -261,7 +261,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     return coder.encode(docs, text, ids, known), coder
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str, frequent: int = 65536) -> DataFrame:
+def digests(docs: DataFrame, ranks_path: str, pattern: str, frequent: int = 100_000) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     encoded, coder = encode(docs.select("doc_id", "text"), ranks_path, pattern, frequent=frequent)
     return encoded.select(

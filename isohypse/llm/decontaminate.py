@@ -29,7 +29,7 @@ from ._arrow import lists, map_batches
 
 #: Bytes that are no part of a word become spaces, A-Z become a-z.
 _TABLE = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # in the original, where A-Z are still there
 
 _automata: dict[str, tuple] = {}
 
