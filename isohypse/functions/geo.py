@@ -373,6 +373,10 @@ def densify_line(line: Column, step: float = 1.0, most: int = 1024) -> Column:
     return F.when(F.size(line) < 2, line).otherwise(F.concat(F.flatten(edges), F.slice(line, -1, 1)))
 
 
+def _clip_by(half, inside, cut):
+    return lambda vertices: half(vertices, inside, cut)
+
+
 def clip_ring(ring: Column, box: Box) -> Column:
     """Sutherland-Hodgman clipping of a closed ring to a box: four half-plane folds."""
 
@@ -395,5 +399,5 @@ def clip_ring(ring: Column, box: Box) -> Column:
 
     out = F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0)))
     for inside, cut in ((lambda p: p.x >= box.min_lon, at_x(box.min_lon)), (lambda p: p.x <= box.max_lon, at_x(box.max_lon)), (lambda p: p.y >= box.min_lat, at_y(box.min_lat)), (lambda p: p.y <= box.max_lat, at_y(box.max_lat))):
-        out = F.get(F.transform(F.array(out), lambda v, inside=inside, cut=cut: half(v, inside, cut)), 0)
+        out = F.get(F.transform(F.array(out), _clip_by(half, inside, cut)), 0)
     return F.when(F.size(out) >= 3, F.concat(out, F.slice(out, 1, 1)))

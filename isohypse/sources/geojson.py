@@ -17,6 +17,10 @@ def _vertex(p: Column) -> Column:
     return F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y"))
 
 
+def _line(positions: Column) -> Column:
+    return F.transform(positions, _vertex)
+
+
 def geometry(text: Column) -> Column:
     """The geometry of a JSON text; a part without siblings loses its Multi, heights are dropped."""
     kind = F.get_json_object(text, "$.type")
@@ -24,19 +28,18 @@ def geometry(text: Column) -> Column:
     out = F.when(text.isNull(), F.lit(None).cast(GEOMETRY))
     for name, depth in _KINDS.items():
         nested = F.from_json(coords, "array<" * depth + _POSITION + ">" * depth)
-        line = lambda ps: F.transform(ps, _vertex)
         if depth == 0:
             parts = F.array(F.array(F.array(_vertex(nested))))
         elif name == "MultiPoint":
             parts = F.transform(nested, lambda p: F.array(F.array(_vertex(p))))
         elif name == "LineString":
-            parts = F.array(F.array(line(nested)))
+            parts = F.array(F.array(_line(nested)))
         elif name == "MultiLineString":
-            parts = F.transform(nested, lambda ps, line=line: F.array(line(ps)))
+            parts = F.transform(nested, lambda ps: F.array(_line(ps)))
         elif name == "Polygon":
-            parts = F.array(F.transform(nested, line))
+            parts = F.array(F.transform(nested, _line))
         else:
-            parts = F.transform(nested, lambda rings, line=line: F.transform(rings, line))
+            parts = F.transform(nested, lambda rings: F.transform(rings, _line))
         parts = F.filter(parts, lambda part: F.size(F.get(part, 0)) > 0)
         single = name.replace("Multi", "")
         out = out.when(kind == name, F.when(nested.isNotNull(), F.struct(F.when(F.size(parts) == 1, single).otherwise(name).alias("kind"), parts.alias("parts"))))
