@@ -287,7 +287,7 @@ def wrap_longitude(lon: Column) -> Column:
 
 
 def depth_bucket(depth_km: Column) -> Column:
-    return F.when(depth_km < 70, "quakes_shallow").when(depth_km < 300, "quakes_intermediate").otherwise("quakes_deep")
+    return F.when(depth_km < 70, "earthquakes_shallow").when(depth_km < 300, "earthquakes_intermediate").otherwise("earthquakes_deep")
 
 
 # ---- intervals and ramps -----------------------------------------------------------------
@@ -313,7 +313,28 @@ def boundaries(low: Column, high: Column, count: int) -> Column:
 
 
 #: Depths a chart shows, in metres.
-CHART_DEPTHS = (2, 5, 10, 20, 30, 50, 100, 200, 500, 1000, 2000, 3000, 4000, 5000, 6000, 8000, 10000)
+CHART_DEPTHS = (2, 5, 10, 20, 30, 50, 100, 200, 500, 1000, 2000, 5000, 10000)
+
+
+def depth_boundaries(lowest: float, count: int, chart: bool = True) -> list[float]:
+    """Upper edges of depth bands from the surface down, as elevations: even, or at a chart's depths.
+
+    A chart keeps the shallowest count + 1 of the depths above the floor, and the surface.
+    """
+    if lowest >= 0:
+        return []
+    if not chart:
+        return [lowest * k / count for k in range(count, -1, -1)]
+    deeper = [d for d in CHART_DEPTHS if d < -lowest][:count]
+    return [-float(d) for d in reversed(deeper)] + [0.0]
+
+
+def land_boundaries(low: float, high: float, count: int) -> list[float]:
+    """Even edges from the shore, or the lowest land, to the top; none without land."""
+    if high <= 0:
+        return []
+    start = max(0.0, low)
+    return [start + (high - start) * k / count for k in range(count + 1)]
 
 
 def lerp_channel(a: Column, b: Column, t: Column) -> Column:

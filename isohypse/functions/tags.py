@@ -25,13 +25,13 @@ AREA_KEYS = ("building", "landuse", "leisure", "natural", "water", "area")
 
 #: Road classes by the highway tag.
 ROAD_CLASSES = {
-    "motorway": ("motorway", "motorway_link", "trunk", "trunk_link"),
+    "motorway": ("motorway", "motorway_link"),
+    "trunk": ("trunk", "trunk_link"),
     "primary": ("primary", "primary_link"),
     "secondary": ("secondary", "secondary_link"),
     "tertiary": ("tertiary", "tertiary_link"),
     "residential": ("residential", "living_street", "unclassified"),
-    "service": ("service",),
-    "path": ("footway", "path", "pedestrian", "steps", "cycleway", "track", "bridleway"),
+    "service": ("service", "track", "path", "footway", "cycleway", "pedestrian"),
 }
 
 

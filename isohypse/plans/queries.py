@@ -15,6 +15,7 @@ from ..functions import geo, strings, tags
 from ..operators import joins, orbits, ordered, raster, vector
 from ..sinks import geojson as sink
 from . import views as V
+from .dimensions import GROUP_ORDER, GROUPS, groups, label_limit, mark_symbol, symbol_parts
 
 Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 QUERIES: dict[str, Query] = {}
@@ -123,7 +124,7 @@ def _(spark, d):
     return p.select("event_id", *[b[k].alias(k) for k in ("min_lon", "min_lat", "max_lon", "max_lat")])
 
 
-@query("depth_bucket", "SELECT CASE WHEN depth<70 THEN 'quakes_shallow' WHEN depth<300 THEN 'quakes_intermediate' ELSE 'quakes_deep' END AS layer, count(*) AS n, round(max(mag),6) AS strongest FROM v_points GROUP BY 1")
+@query("depth_bucket", "SELECT CASE WHEN depth<70 THEN 'earthquakes_shallow' WHEN depth<300 THEN 'earthquakes_intermediate' ELSE 'earthquakes_deep' END AS layer, count(*) AS n, round(max(mag),6) AS strongest FROM v_points GROUP BY 1")
 def _(spark, d):
     return V.points(spark, d).groupBy(geo.depth_bucket(F.col("depth")).alias("layer")).agg(F.count("*").alias("n"), R(F.max("mag")).alias("strongest"))
 
@@ -299,7 +300,7 @@ def _(spark, d):
 
 @query(
     "road_class",
-    "SELECT CASE split_part(kind,'=',2) WHEN 'primary' THEN 'roads_primary' WHEN 'track' THEN 'roads_path' WHEN 'living_street' THEN 'roads_residential' ELSE 'roads_other' END AS layer, count(*) AS n FROM v_tags WHERE split_part(kind,'=',1)='highway' GROUP BY 1",
+    "SELECT CASE split_part(kind,'=',2) WHEN 'primary' THEN 'roads_primary' WHEN 'track' THEN 'roads_service' WHEN 'living_street' THEN 'roads_residential' ELSE 'roads_other' END AS layer, count(*) AS n FROM v_tags WHERE split_part(kind,'=',1)='highway' GROUP BY 1",
 )
 def _(spark, d):
     h = F.element_at("tags", "highway")
@@ -381,6 +382,31 @@ def _(spark, d):
     return V.boxes(spark, d).select("id", strings.cache_key(b, F.array(F.lit("water"), F.lit("roads"))).alias("key"))
 
 
+@query(
+    "layer_inventory_grouped",
+    f"""SELECT g.rank, g.grp, layer, n FROM (SELECT layer, count(*) AS n FROM (SELECT {_classify_sql()} AS layer FROM v_tags) WHERE layer IS NOT NULL GROUP BY layer) JOIN (SELECT * FROM (VALUES {",".join(f"({GROUP_ORDER.index(g)}, '{g}', '{layer}')" for layer, g in GROUPS.items())}) AS t(rank, grp, name)) g ON g.name = layer""",
+)
+def _(spark, d):
+    f = V.tags(spark, d).select(tags.classify(F.col("tags")).alias("layer")).where("layer IS NOT NULL")
+    return sink.inventory(f).join(F.broadcast(groups(spark)), "layer").select("rank", "grp", "layer", "n")
+
+
+@query(
+    "label_limits",
+    f"""SELECT id, layer FROM (SELECT id, {_classify_sql()} AS layer FROM v_tags) l WHERE layer IS NOT NULL QUALIFY row_number() OVER (PARTITION BY layer ORDER BY id) <= (CASE layer WHEN 'places' THEN 120 WHEN 'amenities' THEN 80 WHEN 'shops' THEN 80 ELSE 60 END)""",
+)
+def _(spark, d):
+    f = V.tags(spark, d).select("id", tags.classify(F.col("tags")).alias("layer")).where("layer IS NOT NULL")
+    return ordered.capped(f, "layer", ["id"], label_limit(F.col("layer"))).select("id", "layer")
+
+
+@query("mark_symbols", "SELECT id, CASE split_part(kind,'=',2) WHEN 'light_major' THEN 2 WHEN 'wreck' THEN 4 WHEN 'buoy_lateral' THEN 1 END AS n_parts FROM v_tags WHERE split_part(kind,'=',1)='seamark:type' AND split_part(kind,'=',2) IN ('light_major','wreck','buoy_lateral')")
+def _(spark, d):
+    t = V.tags(spark, d).select("id", mark_symbol(F.col("tags")).alias("symbol")).where("symbol IS NOT NULL")
+    parts = symbol_parts(spark).groupBy("symbol").agg(F.count("*").alias("n_parts"))
+    return t.join(F.broadcast(parts), "symbol").select("id", F.col("n_parts").cast("int").alias("n_parts"))
+
+
 # ---- joins -------------------------------------------------------------------------------
 
 
