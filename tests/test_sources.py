@@ -179,7 +179,7 @@ def test_events_and_map_elements(spark, tmp_path):
     f = lambda i, mag, depth: {"id": i, "geometry": {"coordinates": [20, 35, *([depth] if depth is not None else [])]}, "properties": {"mag": mag, "place": "x", "time": 1700000000000}}
     (tmp_path / "e.json").write_text(json.dumps({"features": [f("a", 5.0, 12), f("b", 3.0, 150), f("c", 4.2, 420), f("d", None, 1), f("e", 2.0, None)]}))
     out = {r.id: r for r in texts.read_events(spark, str(tmp_path / "e.json"), 10.0).collect()}
-    assert {k: r.layer for k, r in out.items()} == {"a": "quakes_shallow", "b": "quakes_intermediate", "c": "quakes_deep", "e": "quakes_shallow"}
+    assert {k: r.layer for k, r in out.items()} == {"a": "earthquakes_shallow", "b": "earthquakes_intermediate", "c": "earthquakes_deep", "e": "earthquakes_shallow"}
     assert out["a"].props["name"] == "M5.0" and "name" not in out["b"].props
 
     ring = [{"lat": y, "lon": x} for x, y in SQUARE]
