@@ -13,7 +13,8 @@ same set are one class from the start; only classes are compared.
    border do both, so that partners on its two sides meet.
 3. In each posting list, classes are linked to the smallest of a similar size, and these
    links are verified against the texts.  Components of the links are found by label
-   propagation.  Then only pairs of one posting list that are still in different components
+   propagation.  Some more rounds link the classes outside a list's largest component to a
+   member of it.  Then only pairs of one posting list that are still in different components
    are verified, which completes the join without all pairs of a group of copies.  Bitmaps
    of the sets rule out most of these first: a bit that only one set has is a token that
    isn't shared.
@@ -155,7 +156,7 @@ def indexed(tokens: np.ndarray, levels: np.ndarray, frequent: int, small_sets: i
             own = np.sort(tokens[order][rank[order] >= frequent])
             a, b = np.triu_indices(len(own), 1)
             out.append(H.mixed(own[a] * np.uint64(0x9E3779B97F4A7C15) + own[b]))
-    return np.unique(np.concatenate(out))
+    return H.mixed(np.unique(np.concatenate(out)))  # mixed, as a prefix holds the small ones: they spread evenly over buckets
 
 
 def _postings(docs: DataFrame, levels, frequent: int, small_sets: int) -> DataFrame:
@@ -301,7 +302,14 @@ def connected(links: DataFrame) -> DataFrame:
             return roots
 
 
-def _joined(docs: DataFrame, small_sets: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _open_lists(lists_: DataFrame, roots: DataFrame) -> DataFrame:
+    """The posting lists with classes of more than one component, with each class's root."""
+    post = lists_.join(roots, lists_["class"] == roots["node"], "left").withColumn("root", F.coalesce("root", "class")).drop("node")
+    many = post.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return post.join(many, "key", "left_semi")
+
+
+def _joined(docs: DataFrame, small_sets: int, hub_rounds: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents with classes, all verified links, and components of linked classes."""
     sets = cut(_sets(docs))
     levels, frequent = _sketch(sets)
@@ -311,12 +319,27 @@ def _joined(docs: DataFrame, small_sets: int) -> tuple[DataFrame, DataFrame, Dat
     texts = cut(_texts(docs, wanted))
     links = cut(_verified(pairs, texts))
     roots = connected(links)
-    # what is left: members of one posting list in different components
-    post = found.where("kind = 1").select("key", F.col("a").alias("class"), "n")
-    post = post.join(roots, post["class"] == roots["node"], "left").select("key", "class", "n", F.coalesce("root", "class").alias("root"))
-    open_keys = post.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     bits = [f"p{k}" for k in range(_WORDS)]
-    post = cut(post.join(open_keys, "key", "left_semi").join(texts.select("class", *bits), "class"))
+    lists_ = _open_lists(found.where("kind = 1").select("key", F.col("a").alias("class"), "n"), roots)
+    lists_ = cut(lists_.drop("root").join(texts.select("class", *bits), "class"))
+    # hubs: in each list a member of its largest component meets the classes outside it; the
+    # lists of a group of copies have different hubs, so that a class finds its group by one of many
+    for seed in range(hub_rounds):
+        post = _open_lists(lists_, roots)
+        lot = F.xxhash64("class", "key", F.lit(seed))
+        hub = post.groupBy("key", "root").agg(F.count("*").alias("size"), F.min_by(F.struct(F.col("class").alias("b"), F.col("n").alias("m"), *[F.col(k).alias(f"q{k[1:]}") for k in bits]), lot).alias("hub"))
+        hub = hub.groupBy("key").agg(F.max_by(F.struct(F.col("root").alias("root2"), "hub"), F.struct("size", "root")).alias("h")).select(F.col("key").alias("key2"), "h.root2", "h.hub.*")
+        near = post.join(hub, (post["key"] == hub["key2"]) & (post["root"] != hub["root2"]) & (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")) & _can_link())
+        near = near.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
+        near = cut(near.join(pairs, ["a", "b"], "left_anti"))
+        pairs = cut(pairs.union(near))
+        more = cut(_verified(near, texts))
+        if not more.limit(1).count():
+            break
+        links = cut(links.union(more))
+        roots = connected(links)
+    # what is left: members of one list in different components
+    post = cut(_open_lists(lists_, roots))
     other = post.select(F.col("key").alias("key2"), F.col("class").alias("b"), F.col("n").alias("m"), F.col("root").alias("root2"), *[F.col(k).alias(f"q{k[1:]}") for k in bits])
     rest = post.join(other, (post["key"] == other["key2"]) & (post["class"] < other["b"]) & (post["root"] != other["root2"]) & (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")) & _can_link())
     rest = cut(rest.select(F.col("class").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"))
@@ -328,7 +351,7 @@ def _joined(docs: DataFrame, small_sets: int) -> tuple[DataFrame, DataFrame, Dat
 
 
 def components(docs: DataFrame, small_sets: int = 64) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, class, n_links (different texts linked with)."""
+    """Per document: doc_id, n_shingles, component_id, class, n_links (verified links of its text to other texts; pairs within a component that needed no check aren't counted)."""
     rows, links, roots = _joined(docs, small_sets)
     classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("low"))
     degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
