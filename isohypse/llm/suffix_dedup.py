@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import _hashing as H
 from ._arrow import lists
-from ._packed import buckets, mapped, tasks
+from ._packed import mapped, tasks
 
 _TRIGGER = 24
 _ROWS = "bucket int, kind int, row bigint, doc_id bigint, block binary"
@@ -50,7 +50,7 @@ _NAME = (1 << 48) - 1
 
 
 def triggers(data: np.ndarray, width: int) -> np.ndarray:
-    """The trigger of each window of that many bytes: sliding minima of rolling hashes."""
+    """The trigger of each window of that many bytes: sliding minima of rolling hashes, mixed."""
     low = H.rolling(H.prefix(data), _TRIGGER)
     span = width - _TRIGGER + 1
     if len(low) < span:
@@ -60,7 +60,8 @@ def triggers(data: np.ndarray, width: int) -> np.ndarray:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
     rest = span - size
-    return np.minimum(low[:-rest], low[rest:]) if rest else low
+    # minima crowd at the low end: mixed, they spread evenly over buckets
+    return H.mixed(np.minimum(low[:-rest], low[rest:]) if rest else low)
 
 
 def row_key(doc_id: int, data: bytes) -> int:
@@ -68,6 +69,13 @@ def row_key(doc_id: int, data: bytes) -> int:
     return xxhash.xxh64_intdigest(data, seed=doc_id & ((1 << 63) - 1)) - (1 << 63)
 
 
+def _slices(it: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that fewer texts are Python objects at once."""
+    for batch in it:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _bucket(key: np.ndarray, n: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
@@ -119,11 +127,16 @@ def _sent(kind: int, blocks: list[tuple[int, bytes]]) -> dict:
 # ---- triggers ----------------------------------------------------------------------------
 
 
-def _shared(row: np.ndarray, key: np.ndarray, n: int) -> dict:
-    """Says to rows which of their triggers are shared: (row, lower half of the trigger)."""
-    order = np.argsort(_row_bucket(row, n), kind="stable")
-    row, low = row[order], (key[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    return _sent(_SHARED, list(_blocks(_row_bucket(row, n), [row, low])))
+def _tag(key: np.ndarray) -> np.ndarray:
+    """32 bits of a trigger, by which a row tells its triggers apart."""
+    return (key >> np.uint64(16) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _shared(row: np.ndarray, tag: np.ndarray, n: int) -> dict:
+    """Says to rows which of their triggers are shared: (row, tag)."""
+    order = np.lexsort((tag, _row_bucket(row, n)))
+    row, tag = row[order], tag[order]
+    return _sent(_SHARED, list(_blocks(_row_bucket(row, n), [_narrow(row.view(np.uint64), 6), tag])))
 
 
 def _send_triggers(width: int, n: int):
@@ -140,12 +153,12 @@ def _send_triggers(width: int, n: int):
             begin = np.r_[True, key[1:] != key[:-1]]
             place = np.arange(len(key)) - np.flatnonzero(begin)[np.cumsum(begin) - 1]
             known = place >= 2  # two rows are enough for the others to be told of
-            yield _sent(_TRIGGERS, list(_blocks(_bucket(key[~known], n), [_narrow(key[~known], 6), _narrow(row[~known].view(np.uint64), 6)])))
+            yield _sent(_TRIGGERS, list(_blocks(_bucket(key[~known], n), [_narrow(key[~known] >> np.uint64(16), 6), _narrow(row[~known].view(np.uint64), 6)])))
             if known.any():
-                passed = _shared(row[known], key[known], n)
+                passed = _shared(row[known], _tag(key[known]), n)
                 yield passed | {"bucket": [(k * 7 + 3) % n for k in passed["bucket"]], "row": passed["bucket"]}  # on the way, `row` holds the bucket
 
-        for batch in it:
+        for batch in _slices(it):
             for doc_id, text in zip(*lists(batch, "doc_id", "text"), strict=True):
                 if doc_id is None or not text:
                     continue
@@ -184,7 +197,7 @@ def _find_shared(n: int):
             low, high = np.minimum.reduceat(row, edges[:-1]), np.maximum.reduceat(row, edges[:-1])
             shared = np.repeat(low != high, np.diff(edges))
             if shared.any():
-                yield _shared(row[shared].view(np.int64), key[shared], n)
+                yield _shared(row[shared].view(np.int64), (key[shared] & np.uint64(0xFFFFFFFF)).astype(np.uint32), n)
 
     return run
 
@@ -197,7 +210,7 @@ def _texts(docs: DataFrame, n: int) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in it:
+        for batch in _slices(it):
             ids, texts = lists(batch, "doc_id", "text")
             data = [(t or "").encode() for t in texts]
             rows = [row_key(i or 0, d) for i, d in zip(ids, data, strict=True)]
@@ -247,11 +260,11 @@ def _send_phrases(width: int, n: int):
 
         held = 0
         for _, own in _by_bucket(it, None):
-            told = [_unpack(b, (8, 4)) for kind, _, _, b in own if kind == _SHARED]
+            told = [_unpack(b, (6, 4)) for kind, _, _, b in own if kind == _SHARED]
             if not told:
                 continue
-            rows = _wide(np.concatenate([t[0] for t in told])) & np.uint64(_NAME)
-            low = _wide(np.concatenate([t[1] for t in told]))
+            rows = _wide(np.concatenate([t[0] for t in told]))
+            low = _wide(np.concatenate([t[1] for t in told])).astype(np.uint32)
             order = np.argsort(rows, kind="stable")
             rows, low = rows[order], low[order]
             done = set()
@@ -264,7 +277,7 @@ def _send_phrases(width: int, n: int):
                     continue
                 data = unpack.decompress(block)
                 m = triggers(np.frombuffer(data, np.uint8), width)
-                on = np.isin(m & np.uint64(0xFFFFFFFF), low[a:b])
+                on = np.isin(_tag(m), low[a:b])
                 edges = np.flatnonzero(np.r_[True, m[1:] != m[:-1], True])
                 for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     if not on[s]:
@@ -283,7 +296,7 @@ def _send_phrases(width: int, n: int):
                             masks.extend((r, p, full) for r, p in got[1])
                             got[0], got[1] = doc_id, [(row, at)]
                         held += 1
-                if held > 80_000:
+                if held > 160_000:
                     yield from flush()
                     held = 0
         yield from flush()
@@ -299,7 +312,7 @@ def _phrase_blocks(key, doc, row, place, text: list[bytes], n: int) -> Iterator[
     pack, out = zstandard.ZstdCompressor(level=3), []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         own = order[a:b]
-        head = b"".join(x.tobytes() for x in (np.uint32(b - a), doc[own], row[own], place[own], sizes[a:b]))
+        head = b"".join([np.uint32(b - a).tobytes(), *(np.ascontiguousarray(x[own].view(np.uint8).reshape(b - a, -1).T).tobytes() for x in (doc, row, place)), sizes[a:b].tobytes()])
         out.append((int(bucket[a]), pack.compress(head + b"".join(text[i] for i in own.tolist()))))
     yield _sent(_PHRASES, out)
 
@@ -327,6 +340,7 @@ def repeated(phrases: list[bytes], docs: np.ndarray, width: int) -> np.ndarray:
     array = np.argsort(heads, kind="stable")
     ordered = heads[array]
     edges = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    del heads, ordered, start
     lowest = np.minimum.reduceat(docs[owner[array]], edges)
     again = docs[owner[array]] > np.repeat(lowest, np.diff(np.r_[edges, len(array)]))
     bits = np.where(again, np.uint64(1) << offset[array].astype(np.uint64), np.uint64(0))
@@ -346,9 +360,9 @@ def _sort_suffixes(width: int, n: int):
             for _, _, _, block in own:
                 raw = unpack.decompress(block)
                 k, at = int(np.frombuffer(raw, np.uint32, 1)[0]), 4
-                for into, kind in ((docs, np.int64), (rows, np.int64), (places, np.uint32)):
-                    into.append(np.frombuffer(raw, kind, k, at))
-                    at += k * np.dtype(kind).itemsize
+                for into, kind, w in ((docs, np.int64, 8), (rows, np.int64, 8), (places, np.uint32, 4)):
+                    into.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, k * w, at).reshape(w, k).T).view(kind).reshape(k))
+                    at += k * w
                 sizes = np.frombuffer(raw, np.uint8, k, at)
                 at += k
                 for s in sizes.tolist():
@@ -407,7 +421,8 @@ def dedup(docs: DataFrame, width: int = 50, with_kept: bool = False) -> DataFram
     if not _TRIGGER < width <= 128:
         raise ValueError(f"width must be over {_TRIGGER} and at most 128")
     spark = docs.sparkSession
-    n, p = buckets(spark), tasks(spark)
+    p = tasks(spark)
+    n = 4 * p  # buckets: one at a time is sorted in memory
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     deal = lambda df: df.repartition(p, "bucket")
     shared = mapped(deal(mapped(own, _send_triggers(width, n), _ROWS)), _find_shared(n), _ROWS)
