@@ -422,7 +422,7 @@ def dedup(docs: DataFrame, width: int = 50, with_kept: bool = False) -> DataFram
         raise ValueError(f"width must be over {_TRIGGER} and at most 128")
     spark = docs.sparkSession
     p = tasks(spark)
-    n = 4 * p  # buckets: one at a time is sorted in memory
+    n = p  # buckets: one at a time is sorted in memory, and each task sends one block to each
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     deal = lambda df: df.repartition(p, "bucket")
     shared = mapped(deal(mapped(own, _send_triggers(width, n), _ROWS)), _find_shared(n), _ROWS)
