@@ -13,7 +13,7 @@ same set are one class from the start; only classes are compared.
    border do both, so that partners on its two sides meet.
 3. In each posting list, classes are linked to the smallest of a similar size, and these
    links are verified against the texts.  Components of the links are found by label
-   propagation.  Some more rounds link the classes outside a list's largest component to a
+   propagation.  Where asked for, rounds of hubs link classes outside a list's largest component to a
    member of it.  Then only pairs of one posting list that are still in different components
    are verified, which completes the join without all pairs of a group of copies.  Bitmaps
    of the sets rule out most of these first: a bit that only one set has is a token that
@@ -309,7 +309,7 @@ def _open_lists(lists_: DataFrame, roots: DataFrame) -> DataFrame:
     return post.join(many, "key", "left_semi")
 
 
-def _joined(docs: DataFrame, small_sets: int, hub_rounds: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _joined(docs: DataFrame, small_sets: int, hub_rounds: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents with classes, all verified links, and components of linked classes."""
     sets = cut(_sets(docs))
     levels, frequent = _sketch(sets)
