@@ -6,7 +6,9 @@ more different segments than `many` and these are more than `spread` of the urls
 Below `levels` only the segment's look decides.  Sibling branches whose shares of blocked
 urls aren't apart by more than chance (twice the pooled standard error) are merged, and
 a template's purity is (blocked + weight * prior) / (labelled + weight), with the host's
-smoothed share as prior.  Templates with a purity of `reject` or more are blocked.
+smoothed share as prior.  A template without labels takes those of its nearest ancestor
+with any, all branches below it counted, and in the end the host's smoothed share.
+Templates with a purity of `reject` or more are blocked, if it stands on `least` labels.
 
 All counting is grouped sums, pre-aggregated before each shuffle; the tables of templates
 are joined by (host, template), not sent whole.
@@ -86,8 +88,24 @@ def templated(urls: DataFrame, levels: int = 4, many: int = 20, spread: float =
     return joined.withColumn("template", F.coalesce("_final", "template")).drop("_h", "_t", "_final")
 
 
+def _ancestors() -> Column:
+    """The nodes above a template, from the host's children down: /a/ and /a/b/ of /a/b/c."""
+    segments = F.split("template", "/")
+    ends = F.sequence(F.lit(2), F.greatest(F.size(segments) - 1, F.lit(2)))
+    nodes = F.transform(ends, lambda i: F.concat(F.array_join(F.slice(segments, F.lit(1), i), "/"), F.lit("/")))
+    return F.when(F.size(segments) > 2, nodes).otherwise(F.array().cast("array<string>"))
+
+
+def _inherited(t: DataFrame) -> DataFrame:
+    """Per (host, template) without labels: the counts of its nearest ancestor with labels, if it isn't the host."""
+    nodes = t.where("labelled > 0").select("host", "labelled", "blocked", F.explode(_ancestors()).alias("node"))
+    nodes = nodes.groupBy("host", "node").agg(F.sum("labelled").alias("a_n"), F.sum("blocked").alias("a_k"))
+    bare = t.where("labelled = 0").select("host", "template", F.posexplode(_ancestors()).alias("depth", "node"))
+    return bare.join(nodes, ["host", "node"]).groupBy("host", "template").agg(F.max_by(F.struct("a_n", "a_k"), "depth").alias("up")).select("host", "template", "up.*")
+
+
 def purities(urls: DataFrame, weight: float = 4.0) -> DataFrame:
-    """Per (host, template): the smoothed share of blocked urls among those the rules decide."""
+    """Per (host, template): the smoothed share of blocked urls among those the rules decide, and how many these are."""
     label = F.when(F.col("ruled").isNotNull(), (F.col("ruled.verdict") == "block").cast("int"))
     t = urls.groupBy("host", "template").agg(F.count(label).alias("labelled"), F.coalesce(F.sum(label), F.lit(0)).alias("blocked"))
     t = t.withColumn("parent", F.regexp_replace("template", r"[^/]*/?$", ""))
@@ -103,10 +121,11 @@ def purities(urls: DataFrame, weight: float = 4.0) -> DataFrame:
     branches = t.where("labelled > 0").groupBy("host", "parent", "branch").agg(F.sum("labelled").alias("b_n"), F.sum("blocked").alias("b_k"))
     hosts = t.groupBy("host").agg(F.sum("labelled").alias("h_n"), F.sum("blocked").alias("h_k"))
     t = t.join(branches, ["host", "parent", "branch"], "left").join(hosts, ["host"])
-    # templates without labels lean on their host's share, which leans on "not blocked"
+    t = t.join(_inherited(t), ["host", "template"], "left")
+    # what has no labels below the host takes the host's share, which leans on "not blocked"
     prior = F.col("h_k") / (F.col("h_n") + weight)
-    k, n = F.coalesce("b_k", F.lit(0)), F.coalesce("b_n", F.lit(0))
-    return t.select("host", "template", ((k + weight * prior) / (n + weight)).alias("purity"), n.alias("labelled"))
+    k, n = F.coalesce("b_k", "a_k"), F.coalesce("b_n", "a_n")
+    return t.select("host", "template", F.coalesce((k + weight * prior) / (n + weight), prior).alias("purity"), F.coalesce(n, "h_n").alias("labelled"))
 
 
 def judge(pages: DataFrame, rules=RULES, reject: float = 0.8, least: int = 3, **tree) -> DataFrame:

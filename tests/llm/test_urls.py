@@ -36,5 +36,19 @@ def test_templates_take_the_verdict_of_their_labelled_urls(spark):
     assert out[300].template == "/tag/*" and out[300].verdict == "allow"
 
 
+def test_templates_without_labels_take_those_above_them(spark):
+    rows = [(i, f"http://spam.example.com/en/{i + 100}") for i in range(1, 61) if i % 10] + [(100, "http://spam.example.com/fr/x"), (101, "http://spam.example.com/"), (102, "http://spam.example.com")]
+    rows += [(200 + i, f"http://rare.example.com/en/2{i}") for i in range(2)] + [(210, "http://rare.example.com/fr/x"), (211, "http://none.example.com/fr/x")]
+    rows += [(300 + i, f"http://even.example.com/en/{i}") for i in (*range(70, 80), *range(10, 20))] + [(400, "http://even.example.com/fr/x")]
+    out = {r.page_id: r for r in U.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}  # the production rules
+    assert all(out[i].rule is None and out[i].verdict == "block" for i in (100, 101, 102))
+    assert all(out[i].rule is None and out[i].verdict == "allow" for i in (210, 211, 400))
+    # the nearest node decides, not the host
+    rows = [(i, f"http://a.test/x/bad/{i}") for i in range(20)] + [(100 + i, f"http://a.test/y/{i}") for i in range(40)] + [(200, "http://a.test/x/new/q"), (201, "http://a.test/z/new/q")]
+    rules = (("block", "a.test", "/x/bad/"), ("allow", "a.test", "/y/"))
+    out = {r.page_id: r for r in U.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert out[200].verdict == "block" and out[201].verdict == "allow"
+
+
 def test_empty_table(spark):
     assert U.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
