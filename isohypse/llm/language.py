@@ -1,10 +1,11 @@
 """Language identification by compression.
 
 For each language a raw-content zstandard dictionary is made of labelled texts.  A text
-is folded to letters and single spaces, compressed once with each dictionary, and gets
-the language whose dictionary leaves the fewest bytes.  The margin is the distance to the
-next language, in relation to the text's own size; texts with a narrow margin are
-rejected (`sure` is false), as are texts without letters (`und`).
+is folded to letters and single spaces, compressed with each dictionary, and gets the
+language whose dictionary leaves the fewest bytes.  A long text is compressed in blocks,
+each with the whole dictionary, so that its own repeats don't outweigh the dictionaries.
+The margin is the distance to the next language, in relation to the text's own size; texts
+with a narrow margin are rejected (`sure` is false), as are texts without letters (`und`).
 
 Short texts can tie to the byte.  Ties are told apart by the compressed size of the text
 written several times over with the words in other orders, then by the language's share
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from ._arrow import lists, map_batches
 
 _OTHER = re.compile(r"[\W\d_]+")
+_BLOCK = 32_768  # bytes at most that are compressed at once
 
 
 def folded(text: str | None) -> str:
@@ -63,7 +65,10 @@ class Model:
     def sizes(self, text: bytes) -> dict[str, float]:
         made = self._compressors()
         if len(text) >= 2000:
-            return {lang: len(fast.compress(text)) for lang, fast, _ in made}
+            parts = -(-len(text) // _BLOCK)
+            ends = [len(text) * k // parts for k in range(parts + 1)]  # even blocks, so that none is short
+            blocks = [text[a:b] for a, b in zip(ends, ends[1:])]
+            return {lang: sum(len(fast.compress(x)) for x in blocks) for lang, fast, _ in made}
         # a short text: the finest level, and three word orders, for sizes between whole bytes
         words = text.split()
         forms = [text, b" ".join(words[::-1]), b" ".join(words[1::2] + words[::2])]

@@ -7,6 +7,18 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in out) / len(out) > 0.97
 
 
+def test_long_texts_keep_their_margin(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model, own = L.fit(docs.where(~L.held_out())), {}
+    for r in docs.where(L.held_out()).where("lang IS NOT NULL").select("lang", "text").distinct().collect():
+        own.setdefault(r.lang, []).append(r.text or "")
+    for lang, texts in own.items():
+        text = " ".join(texts)
+        for size in (3_000_000, 10_000_000):
+            got, _, sure = model.predict((text * (size // len(text) + 1))[:size])
+            assert got == lang and sure, (lang, size)
+
+
 def test_edge_cases(documents, rows):
     out = L.identify(documents).collect()
     assert len(out) == len(rows)
