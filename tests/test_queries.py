@@ -2,6 +2,7 @@ import pytest
 
 import __spark_entry__ as entry
 from isohypse.plans import queries as plans
+from isohypse.plans import views as V
 
 from .compare import differences
 
@@ -19,6 +20,12 @@ def test_query_without_sql_runs(name, spark, sf_dir):
     assert plans.QUERIES[name][0](spark, sf_dir).count() >= 0
 
 
+def test_streamlines_cover_the_whole_field(spark, sf_dir):
+    rows = V.field(spark, sf_dir).agg({"row": "max"}).first()[0] + 1
+    out = plans.QUERIES["streamlines"][0](spark, sf_dir).selectExpr("int(r / 64) AS part").distinct().collect()
+    assert {x.part for x in out} == set(range((rows + 63) // 64))
+
+
 def test_entry_points(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
