@@ -309,8 +309,11 @@ def _open_lists(lists_: DataFrame, roots: DataFrame) -> DataFrame:
     return post.join(many, "key", "left_semi")
 
 
-def _joined(docs: DataFrame, small_sets: int, hub_rounds: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents with classes, all verified links, and components of linked classes."""
+def _joined(docs: DataFrame, small_sets: int, hub_rounds: int = 0, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with classes, verified links, and components of linked classes.
+
+    The links are enough for the components; with `whole` they are all there are.
+    """
     sets = cut(_sets(docs))
     levels, frequent = _sketch(sets)
     found = cut(_postings(docs, levels, frequent, small_sets))
@@ -320,7 +323,9 @@ def _joined(docs: DataFrame, small_sets: int, hub_rounds: int = 0) -> tuple[Data
     links = cut(_verified(pairs, texts))
     roots = connected(links)
     bits = [f"p{k}" for k in range(_WORDS)]
-    lists_ = _open_lists(found.where("kind = 1").select("key", F.col("a").alias("class"), "n"), roots)
+    # with no roots each class counts as a component of its own, so that no pair is left out
+    known = roots.limit(0) if whole else roots
+    lists_ = _open_lists(found.where("kind = 1").select("key", F.col("a").alias("class"), "n"), known)
     lists_ = cut(lists_.drop("root").join(texts.select("class", *bits), "class"))
     # hubs: in each list a member of its largest component meets the classes outside it; the
     # lists of a group of copies have different hubs, so that a class finds its group by one of many
@@ -339,7 +344,7 @@ def _joined(docs: DataFrame, small_sets: int, hub_rounds: int = 0) -> tuple[Data
         links = cut(links.union(more))
         roots = connected(links)
     # what is left: members of one list in different components
-    post = cut(_open_lists(lists_, roots))
+    post = cut(_open_lists(lists_, known if whole else roots))
     other = post.select(F.col("key").alias("key2"), F.col("class").alias("b"), F.col("n").alias("m"), F.col("root").alias("root2"), *[F.col(k).alias(f"q{k[1:]}") for k in bits])
     rest = post.join(other, (post["key"] == other["key2"]) & (post["class"] < other["b"]) & (post["root"] != other["root2"]) & (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")) & _can_link())
     rest = cut(rest.select(F.col("class").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"))
@@ -351,15 +356,26 @@ def _joined(docs: DataFrame, small_sets: int, hub_rounds: int = 0) -> tuple[Data
 
 
 def components(docs: DataFrame, small_sets: int = 64) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, class, n_links (verified links of its text to other texts; pairs within a component that needed no check aren't counted)."""
-    rows, links, roots = _joined(docs, small_sets)
+    """Per document: doc_id, n_shingles, component_id, class."""
+    rows, _, roots = _joined(docs, small_sets)
     classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("low"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
     by_root = classes.join(roots, classes["class"] == roots["node"], "left").withColumn("root", F.coalesce("root", "class"))
     lowest = by_root.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_class = by_root.join(lowest, "root").join(degree, F.col("class") == F.col("c"), "left").select(F.col("class").alias("of"), "component_id", "n_links")
+    by_class = by_root.join(lowest, "root").select(F.col("class").alias("of"), "component_id")
     out = rows.join(by_class, rows["class"] == by_class["of"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class")
+
+
+def link_counts(docs: DataFrame, small_sets: int = 64) -> DataFrame:
+    """Per document: doc_id, class, n_links: the number of other classes (sets of shingles) that its own is linked to.
+
+    All candidates are verified, also those within a component, so that the cost grows
+    with the number of links.
+    """
+    rows, links, _ = _joined(docs, small_sets, whole=True)
+    degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
+    out = rows.join(degree, rows["class"] == degree["c"], "left")
+    return out.select("doc_id", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def representatives(docs: DataFrame, small_sets: int = 64, max_sent: int = 2_000_000) -> DataFrame:

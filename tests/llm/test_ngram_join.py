@@ -65,6 +65,23 @@ def test_chains_of_near_copies_and_shared_passages(spark):
         assert result(J.components(docs, small)) == brute(rows)
 
 
+def test_links_are_counted_within_groups_too(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    rows = []
+    for _ in range(3):
+        own = [word() for _ in range(60)]
+        for _ in range(25):
+            rows.append((len(rows), " ".join(own)))
+            own[rng.randrange(60)] = word()
+    sets = {i: frozenset(zip(*(t.split()[k:] for k in range(5)))) for i, t in rows}
+    linked = lambda x, y: x != y and 100 * len(x & y) >= 80 * len(x | y)
+    want = {i: sum(linked(x, y) for y in set(sets.values())) for i, x in sets.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert max(want.values()) > 2
+    assert {r.doc_id: r.n_links for r in J.link_counts(docs, 20).collect()} == want
+
+
 def test_frequent_tokens_are_indexed_in_combinations(spark, monkeypatch):
     rng = random.Random(5)
     pool = [" ".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(12)]
