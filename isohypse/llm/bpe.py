@@ -1,11 +1,13 @@
-"""Byte-level BPE encoding and decoding with Spark higher-order functions.
+"""Byte-level BPE encoding and decoding; Spark higher-order functions fold the merges.
 
-A text is cut into pieces by the tokenizer's pattern; each distinct rare piece of a
-document is turned into an array of byte ids, and ``aggregate`` folds ranked merges
-over that array: every step looks up the rank of each adjacent pair in a literal rank
-table and merges all occurrences of the lowest-ranked pair.  Pieces that are frequent in
-the corpus are folded once and looked up in a literal table of bounded size, which
-changes the cost only.  Decoding concatenates the byte strings of the ids.
+A text is cut into pieces by the tokenizer's pattern.  A piece that is a token is looked up
+in the vocabulary.  Of the others, each task lists the distinct ones as it meets them; an
+expression turns each into an array of byte ids, and ``aggregate`` folds ranked merges over
+the array: every step looks up the rank of each adjacent pair in a literal table and merges
+all occurrences of the lowest-ranked pair.  The next step of the same task puts the folded
+words' ids back in the places of the pieces.  Decoding concatenates the byte strings of the
+ids.  All this is one pass without a shuffle; the tables that are sent are the vocabulary's
+own, of a size that doesn't depend on the input.
 
 Two facts make the fold exact.  (1) A token has one *canonical* pair of parts: the state
 of its bytes after all lower-ranked merges.  Whenever two neighbours join to that token
@@ -14,44 +16,38 @@ token is enough.  (2) Both parts of a canonical pair have lower ranks than the t
 merging never creates a pair of lower or equal rank, and all occurrences of the lowest
 pair can be merged in one step, from left to right.
 
-Cases: null text is the empty text (no tokens; the hash of the empty string); repeated
-rows give repeated results; an empty table gives an empty table; other columns of the
-input are not read.
+The rank table is a row-displacement table: the entry of the pair (x, y) stands at
+``base[x] + y`` and holds x with the rank, so that a lookup is two array reads.
+
+A task's list of words starts anew after a number of words (an epoch), so that its memory is
+bounded.  Both steps see the rows of a task in one order, so that a word's number in its
+epoch names it; a task that runs again numbers its words again.
+
+Cases: null text is the empty text (no tokens; the hash of the empty string); repeated rows
+give repeated results, and there are no ties, as each row is coded by itself; an empty table
+gives an empty table; other columns, of any name, are passed on by `encode` and not read by
+`digests`.  A very long text costs in proportion to its length.  A long piece without a
+break is cut first, between bytes that no token holds together; the fold of a part takes
+steps in proportion to its merges.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
+from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-#: White space as the tokenizer's pattern means it (Java's \s is ASCII only).
-_SPACE = r"\u0009-\u000d \u0085   -     　"
-
-
-def java_pattern(pattern: str) -> str:
-    """The tokenizer's pattern with Unicode white space spelt out for Java."""
-    out, inside, i = [], False, 0
-    while i < len(pattern):
-        two = pattern[i : i + 2]
-        if two in (r"\s", r"\S"):
-            out.append(_SPACE if inside and two == r"\s" else f"[{_SPACE}]" if two == r"\s" else f"[^{_SPACE}]")
-            i += 2
-            continue
-        if two[0] == "\\":
-            out.append(two)
-            i += 2
-            continue
-        inside = two[0] == "[" or inside and two[0] != "]"
-        out.append(two[0])
-        i += 1
-    return "".join(out)
-
+from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Merges:
@@ -100,6 +96,38 @@ def _literal(values: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values, ensure_ascii=False, separators=(",", ":"))), f"array<{kind}>")
 
 
+_SHIFT = 20  # bits of a rank beside the left id
+_FREE = -1  # no pair: taken from any left id and without its sign it is over all ranks
+
+
+def displaced(pairs: tuple[tuple[int, int, int], ...], n_ids: int) -> tuple[list[int], list[int]]:
+    """base and table: the rank of (x, y) is table[base[x] + y] - (x << 20), if that is from 0 to 2^20."""
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for a, b, t in pairs:
+        rows.setdefault(a, []).append((b, t))
+    base, window = np.zeros(n_ids, np.int64), 8192
+    used = np.zeros(4 * (len(pairs) + n_ids) + window, bool)
+    table = np.full(len(used), _FREE, np.int64)
+    first = 0
+    for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        own = np.array([b for b, _ in row])
+        while used[first]:
+            first += 1
+        at = max(0, first - int(own.min()))
+        while True:  # the first place where all the row's entries are free
+            taken = np.zeros(window, bool)
+            for b in own.tolist():
+                taken |= used[at + b : at + b + window]
+            if not taken.all():
+                at += int(np.argmin(taken))
+                break
+            at += window
+        base[a] = at
+        used[at + own] = True
+        table[at + own] = (a << _SHIFT) | np.array([t for _, t in row])
+    return base.tolist(), table[: int(base.max()) + n_ids].tolist()
+
+
 def _hash(key: int | str) -> int:
     """Spark's xxhash64 of a bigint or a string, as an unsigned number."""
     data = key.encode() if isinstance(key, str) else key.to_bytes(8, "little", signed=True)
@@ -111,36 +139,15 @@ def _placed(keys: list) -> tuple[list[int], list[int], int]:
 
     No two keys meet in a slot, so a lookup reads one slot.
     """
-    size = 1 << max(4, len(keys).bit_length())
-    buckets: dict[int, list[int]] = {}
     hashes = [_hash(k) for k in keys]
-    for i, h in enumerate(hashes):
-        buckets.setdefault(h & (size // 4 - 1), []).append(i)
-    shift, used, place = [0] * (size // 4), bytearray(size), [0] * len(keys)
-    for b, own in sorted(buckets.items(), key=lambda x: -len(x[1])):
-        base, d = [hashes[i] >> 24 & (size - 1) for i in own], 0
-        if len(set(base)) < len(base):
-            return _placed_larger(keys, hashes)
-        while any(used[(x + d) & (size - 1)] for x in base):
-            d += 1
-        shift[b] = d
-        for i, x in zip(own, base, strict=True):
-            place[i] = (x + d) & (size - 1)
-            used[place[i]] = 1
-    return place, shift, size
-
-
-def _placed_larger(keys: list, hashes: list[int]) -> tuple[list[int], list[int], int]:
-    """For the rare case that two keys of a bucket have one slot: more slots tell them apart."""
     size = 1 << max(4, len(keys).bit_length())
-    while True:
+    # keys of one bucket that have one slot can't be told apart by a shift: more slots do it
+    while len({(h & (size // 4 - 1), h >> 24 & (size - 1)) for h in hashes}) < len(hashes):
         size *= 2
-        seen = {(h & (size // 4 - 1), h >> 24 & (size - 1)) for h in hashes}
-        if len(seen) == len(hashes):
-            break
-    shift, used, place, buckets = [0] * (size // 4), bytearray(size), [0] * len(keys), {}
+    buckets: dict[int, list[int]] = {}
     for i, h in enumerate(hashes):
         buckets.setdefault(h & (size // 4 - 1), []).append(i)
+    shift, used, place = [0] * (size // 4), bytearray(size), [0] * len(keys)
     for b, own in sorted(buckets.items(), key=lambda x: -len(x[1])):
         base, d = [hashes[i] >> 24 & (size - 1) for i in own], 0
         while any(used[(x + d) & (size - 1)] for x in base):
@@ -177,96 +184,201 @@ def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
-class Coder:
-    """Encoding and decoding expressions over one vocabulary."""
-
-    def __init__(self, merges: Merges, pattern: str) -> None:
-        self.merges, self.pattern = merges, java_pattern(pattern)
-        self.ranks = LiteralMap({a << 20 | b: t for a, b, t in merges.pairs}, "bigint", "int")
-        left, right = [-1] * len(merges.tokens), [-1] * len(merges.tokens)
-        for a, b, t in merges.pairs:
-            left[t], right[t] = a, b
-        self.left, self.right = _literal(left, "int"), _literal(right, "int")
-        self.bytes, self.hex = _literal(list(merges.byte_ids), "int"), _literal([t.hex() for t in merges.tokens], "string")
+_LONG = 48  # bytes from which on a piece is cut before it is folded
+_SLICE = 500  # rows that are Python objects at once
 
-    def pieces(self, text: Column) -> Column:
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def byte_ids(self, piece: Column) -> Column:
-        """The ids of a piece's bytes: as Latin-1 each byte is one character."""
-        return F.transform(F.split(F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1"), ""), lambda x: F.get(self.bytes, F.ascii(x)))
+class Folding:
+    """The ids of words by a fold of ranked merges, as expressions over literal tables of one vocabulary."""
 
-    def fold(self, piece: Column) -> Column:
-        """The ids of one piece, by a fold of ranked merges over its byte ids."""
-
-        def joined(s: Column, t: Column, a: Column, b: Column) -> Column:
-            marked = F.transform(s, lambda x, i: F.when(x == a, F.when(F.get(s, i + 1) == b, t).otherwise(x)).when((x == b) & (F.get(s, i - 1) == a), -1).otherwise(x))
+    def __init__(self, merges: Merges) -> None:
+        base, table = displaced(merges.pairs, len(merges.tokens))
+        self.base, self.table = _literal(base, "int"), _literal(table, "bigint")
+        twin: list[int | None] = [None] * len(merges.tokens)
+        for a, b, t in merges.pairs:
+            if a == b:
+                twin[t] = a
+        self.twin, self.bytes = _literal(twin, "int"), _literal(list(merges.byte_ids), "int")
+        held = {t for t in merges.tokens if len(t) == 2}
+        for t in merges.tokens:
+            held.update(t[i : i + 3] for i in range(len(t) - 2))
+        self.held = LiteralMap({t.decode("latin-1"): True for t in sorted(held)}, "string", "boolean")
+
+    def byte_ids(self, chars: Column) -> Column:
+        """The ids of bytes given as characters of Latin-1."""
+        return F.transform(F.split(chars, ""), lambda x: F.get(self.bytes, F.ascii(x)))
+
+    def fold(self, chars: Column) -> Column:
+        """The ids of a string of bytes (characters of Latin-1)."""
+
+        def merged(s: Column, ranks: Column, t: Column) -> Column:
+            one = F.transform(s, lambda x, i: F.when(F.get(ranks, i) == t, t).when(F.get(ranks, i - 1) == t, -1).otherwise(x))
             # a pair of equal ids can overlap itself: replace() goes from left to right
+            x = F.get(self.twin, t).cast("string")
             text = F.array_join(F.transform(s, lambda x: F.concat(F.lit("<"), x.cast("string"), F.lit(">"))), "")
-            pair = F.concat(F.lit("<"), a.cast("string"), F.lit("><"), b.cast("string"), F.lit(">"))
-            same = F.split(F.regexp_replace(F.replace(text, pair, F.concat(F.lit("<"), t.cast("string"), F.lit(">"))), "^<|>$", ""), "><").cast("array<int>")
-            return F.when(a == b, same).otherwise(F.array_remove(marked, -1))
+            pair = F.concat(F.lit("<"), x, F.lit("><"), x, F.lit(">"))
+            twin = F.split(F.regexp_replace(F.replace(text, pair, F.concat(F.lit("<"), t.cast("string"), F.lit(">"))), "^<|>$", ""), "><").cast("array<int>")
+            return F.when(F.get(self.twin, t).isNull(), F.array_remove(one, -1)).otherwise(twin)
+
+        def ranks(s: Column) -> Column:
+            """The rank of each place's pair; numbers from 2^20 on are none."""
+            return F.zip_with(
+                s,
+                F.slice(s, 2, F.size(s)),
+                lambda x, y: (F.get(self.table, F.get(self.base, x) + y) - F.shiftleft(x.cast("bigint"), _SHIFT)).bitwiseAND(F.lit((1 << 63) - 1)),
+            )
 
         def step(s: Column) -> Column:
-            keys = F.zip_with(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, 2, F.size(s)), lambda x, y: F.shiftleft(x.cast("bigint"), 20) + y)
-            merged = _let(
-                F.array_min(self.ranks.get_each(keys)),
-                lambda t: F.when(t.isNull(), F.concat(s, F.array(F.lit(-1)))).otherwise(F.get(F.zip_with(F.array(F.get(self.left, t)), F.array(F.get(self.right, t)), lambda a, b: joined(s, t, a, b)), 0)),
-            )
-            return F.when(F.element_at(s, -1) == -1, s).otherwise(merged)  # -1 at the end: nothing is left to merge
-
-        return _let(self.byte_ids(piece), lambda ids: F.array_remove(F.aggregate(F.slice(ids, 2, F.size(ids)), ids, lambda s, _: step(s)), -1))
-
-    def frequent(self, docs: DataFrame, text: str, limit: int) -> LiteralMap | None:
-        """The most frequent pieces of all texts with their ids: at most `limit` entries reach the driver."""
-        counted = docs.select(F.explode(self.pieces(F.col(text))).alias("piece")).groupBy("piece").count()
-        top = counted.where(F.octet_length("piece") <= 32).orderBy(F.desc("count"), "piece").limit(limit)
-        rows = top.select("piece", self.fold(F.col("piece")).alias("ids")).collect()
-        return LiteralMap({r.piece: list(r.ids) for r in rows}, "string", "array<int>") if rows else None
-
-    def encode(self, docs: DataFrame, text: str, ids: str, known: LiteralMap | None) -> DataFrame:
-        """Adds the array of ids of every whole text."""
-        no_ids = F.lit(None).cast("array<int>")
-
-        def of(pieces: Column, folded: Column) -> Column:
-            looked_up = known.get_each(pieces) if known is not None else F.transform(pieces, lambda _: no_ids)
-            return F.flatten(F.zip_with(looked_up, pieces, lambda v, p: F.coalesce(v, F.element_at(folded, p))))
-
-        def new(pieces: Column) -> Column:
-            if known is None:
-                return F.array_distinct(pieces)
-            found = _let(F.array_distinct(pieces), lambda d: F.zip_with(d, known.get_each(d), lambda p, v: F.when(v.isNull(), p)))
-            return F.array_compact(found)
-
-        # bound by lambdas: a column of its own would be computed anew for each use in a lambda
-        all_ids = _let(
-            self.pieces(F.col(text)),
-            lambda pieces: _let(_let(new(pieces), lambda d: F.map_from_arrays(d, F.transform(d, self.fold))), lambda folded: of(pieces, folded)),
+            done = F.concat(s, F.array(F.lit(-1)))  # -1 at the end: nothing is left to merge
+            return _let(ranks(s), lambda r: _let(F.array_min(r), lambda t: F.when(t < F.lit(1 << _SHIFT), merged(s, r, t.cast("int"))).otherwise(done)))
+
+        folded = lambda ids: F.aggregate(F.slice(ids, 2, F.size(ids)), ids, lambda s, _: F.when(F.element_at(s, -1) == -1, s).otherwise(step(s)))
+        return F.array_remove(_let(self.byte_ids(chars), folded), -1)
+
+    def parts(self, chars: Column) -> Column:
+        """A string of bytes, cut between two bytes that no token of two bytes and no three bytes of a token hold together."""
+
+        def cut(c: Column, two: Column, three: Column) -> Column:
+            across = lambda i: F.coalesce(F.get(two, i), F.get(three, i), F.get(three, i - 1))
+            return F.transform(c, lambda x, i: F.when(across(i), x).otherwise(F.concat(x, F.lit("\u0100"))))
+
+        joined = lambda x, y: F.concat(x, y)
+        marked = _let(
+            F.split(chars, ""),
+            lambda c: _let(
+                F.zip_with(c, F.slice(c, 2, F.size(c)), joined),
+                lambda two: _let(
+                    self.held.get_each(F.zip_with(two, F.slice(c, 3, F.size(c)), joined)),
+                    lambda three: _let(self.held.get_each(two), lambda known: cut(c, known, three)),
+                ),
+            ),
         )
-        return docs.withColumn(ids, all_ids)
-
-    def decode(self, ids: Column) -> Column:
-        """The bytes of an array of ids: their tokens' bytes, concatenated."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.hex, i)), ""))
-
-
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", frequent: int = 100_000) -> tuple[DataFrame, Coder]:
-    """Adds the ids of every whole text; also returns the coder, for decoding.
-
-    `frequent` bounds the literal table of pieces that are folded once; it does not change
-    the result.
-    """
-    coder = Coder(read_ranks(ranks_path), pattern)
-    known = coder.frequent(docs, text, frequent) if frequent else None
-    return coder.encode(docs, text, ids, known), coder
-
-
-def digests(docs: DataFrame, ranks_path: str, pattern: str, frequent: int = 100_000) -> DataFrame:
+        return F.array_remove(F.split(F.array_join(marked, ""), "\u0100"), "")
+
+    def words(self, words: Column) -> Column:
+        """The ids of each word of an array."""
+
+        def ids(word: Column) -> Column:
+            chars = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+            parts = _let(chars, lambda c: F.when(F.octet_length(word) > _LONG, self.parts(c)).otherwise(F.array(c)))
+            return F.flatten(F.transform(parts, self.fold))
+
+        return F.transform(words, ids)
+
+
+def _cut(pattern: str, ranks, epoch_words: int):
+    """Rows with their pieces' codes: a token's id, or from the number of tokens on a word's number in its epoch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, known, first = regex.compile(pattern).findall, ranks.value[0], len(ranks.value[1])
+        words: dict[str, int] = {}
+        epoch = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(at, _SLICE)
+                epochs, codes, fresh = [], [], []
+                for text in part.column(1).to_pylist():
+                    if len(words) >= epoch_words:
+                        words, epoch = {}, epoch + 1
+                    own, new = [], []
+                    for piece in find(text or ""):
+                        code = known.get(piece)
+                        if code is None:
+                            code = words.get(piece)
+                            if code is None:
+                                code = words[piece] = first + len(words)
+                                new.append(piece)
+                        own.append(code)
+                    epochs.append(epoch)
+                    codes.append(np.array(own, np.int32).tobytes())
+                    fresh.append(new)
+                columns = [part.column(0), pa.array(epochs, pa.int32()), pa.array(codes, pa.binary()), pa.array(fresh, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["kept", "epoch", "codes", "words"])
+
+    return run
+
+
+def _filled(ranks, finish, names: list[str]):
+    """The rows with the folded words' ids in their places; finish turns a row's lists of ids into columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, epoch, parts = ranks.value[1], -1, []
+        for batch in batches:
+            folded, out = batch.column(3), []
+            ends = np.asarray(folded.offsets)
+            inner = folded.values
+            bounds, flat = np.asarray(inner.offsets), np.asarray(inner.values)
+            for k, (now, codes) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if now != epoch:
+                    epoch, parts = now, [finish.word([i], tokens) for i in range(len(tokens))]
+                for w in range(ends[k], ends[k + 1]):
+                    parts.append(finish.word(flat[bounds[w] : bounds[w + 1]].tolist(), tokens))
+                out.append(finish.row([parts[c] for c in np.frombuffer(codes, np.int32).tolist()]))
+            columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(finish.kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+
+    return run
+
+
+class _Ids:
+    """Finishes a row as its array of ids."""
+
+    kinds = (pa.list_(pa.int32()),)
+
+    @staticmethod
+    def word(ids: list[int], tokens: tuple[bytes, ...]) -> list[int]:
+        return ids
+
+    @staticmethod
+    def row(words: list[list[int]]) -> tuple:
+        return ([i for ids in words for i in ids],)
+
+
+class _Digests:
+    """Finishes a row as the number of its ids and the digests of the ids and of their bytes."""
+
+    kinds = (pa.int64(), pa.string(), pa.string())
+
+    @staticmethod
+    def word(ids: list[int], tokens: tuple[bytes, ...]) -> tuple[int, str, bytes]:
+        return len(ids), " ".join(map(str, ids)), b"".join([tokens[i] for i in ids])
+
+    @staticmethod
+    def row(words: list[tuple[int, str, bytes]]) -> tuple:
+        ids = " ".join([w[1] for w in words])
+        return sum([w[0] for w in words]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([w[2] for w in words])).hexdigest()
+
+
+def _coded(kept: Column, text: Column, docs: DataFrame, ranks_path: str, pattern: str, finish, schema: str, epoch_words: int) -> DataFrame:
+    """`kept` and the columns that finish gives, for each row."""
+    merges = read_ranks(ranks_path)
+    whole = {}
+    for rank, token in enumerate(merges.tokens):
+        with suppress(UnicodeDecodeError):  # a part of a character is no piece
+            whole[token.decode()] = rank
+    ranks = docs.sparkSession.sparkContext.broadcast((whole, merges.tokens))  # the vocabulary
+    rows = docs.select(kept.alias("kept"), text.cast("string").alias("text"))
+    kind = rows.schema["kept"].dataType
+    cut = T.StructType([T.StructField("kept", kind)] + T.StructType.fromDDL("epoch int, codes binary, words array<string>").fields)
+    out = T.StructType([T.StructField("kept", kind)] + T.StructType.fromDDL(schema).fields)
+    pieces = rows.mapInArrow(_cut(pattern, ranks, epoch_words), cut)
+    folded = pieces.select("kept", "epoch", "codes", Folding(merges).words(F.col("words")).alias("folded"))
+    return folded.mapInArrow(_filled(ranks, finish, out.names), out)
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", epoch_words: int = 300_000) -> DataFrame:
+    """Adds the ids of every whole text; `epoch_words` bounds a task's list of words."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return _coded(row, F.col(text), docs, ranks_path, pattern, _Ids, "ids array<int>", epoch_words).select("kept.*", F.col("ids").alias(ids))
+
+
+def decode(ids: Column, ranks_path: str) -> Column:
+    """The bytes of an array of ids: their tokens' bytes, concatenated."""
+    tokens = _literal([t.hex() for t in read_ranks(ranks_path).tokens], "string")
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(tokens, i)), ""))
+
+
+def digests(docs: DataFrame, ranks_path: str, pattern: str, epoch_words: int = 300_000) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    encoded, coder = encode(docs.select("doc_id", "text"), ranks_path, pattern, frequent=frequent)
-    return encoded.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(coder.decode(F.col("ids")), 256).alias("decoded_sha256"),
-    )
+    out = _coded(F.col("doc_id"), F.col("text"), docs, ranks_path, pattern, _Digests, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", epoch_words)
+    return out.withColumnRenamed("kept", "doc_id")

@@ -1,7 +1,10 @@
 import hashlib
+import random
+import time
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 from isohypse.llm import bpe
 
@@ -15,15 +18,15 @@ def test_ids_and_round_trip_equal_the_library(documents, rows):
     for i, t in rows:
         ids = own.encode_ordinary(t or "")
         want.append((str(i), len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
-    for frequent in (0, 500):
-        got = bpe.digests(documents, PATH, public_tokenizers.PATTERN, frequent).collect()
+    for epoch_words in (300_000, 50):
+        got = bpe.digests(documents, PATH, public_tokenizers.PATTERN, epoch_words).collect()
         assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted(want)
 
 
 def test_overlapping_pairs_of_equal_ids(spark):
     texts = ["a" * n for n in range(1, 40)] + ["ab" * 30, "=" * 77, "-=" * 21, "!!!!!?????"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out, _ = bpe.encode(docs, PATH, public_tokenizers.PATTERN, frequent=0)
+    out = bpe.encode(docs, PATH, public_tokenizers.PATTERN)
     ranks = {t: i for i, t in enumerate(bpe.read_ranks(PATH).tokens)}
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     assert {r.text: list(r.ids) for r in out.collect()} == {t: own.encode_ordinary(t) for t in texts}
@@ -35,5 +38,33 @@ def test_every_token_has_one_canonical_pair():
     assert all(a < t and b < t or a < 256 or b < 256 for a, b, t in merges.pairs)
 
 
+def test_all_code_points_and_long_pieces(spark):
+    rng = random.Random(3)
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}1{c} " for c in points[k : k + 400]) for k in range(0, len(points), 400)]
+    texts += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)), "\u65e5" * 3000, "ab" * 5000]
+    ranks = {t: i for i, t in enumerate(bpe.read_ranks(PATH).tokens)}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = bpe.encode(docs, PATH, public_tokenizers.PATTERN).withColumn("back", bpe.decode(F.col("ids"), PATH))
+    for r in got.collect():
+        assert list(r.ids) == own.encode_ordinary(texts[r.doc_id]) and bytes(r.back).decode() == texts[r.doc_id]
+
+
+def test_long_texts_cost_in_proportion(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000)), "ab cde " * 200_000]
+    began = time.perf_counter()
+    out = bpe.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH, public_tokenizers.PATTERN).collect()
+    assert len(out) == 2 and time.perf_counter() - began < 60
+
+
+def test_columns_with_helpers_names_are_passed_on(spark):
+    docs = spark.createDataFrame([("hello world", 1, "x", 2.0), (None, 2, "y", 3.0)], "text string, codes int, kept string, epoch double")
+    out = bpe.encode(docs, PATH, public_tokenizers.PATTERN)
+    assert out.columns == ["text", "codes", "kept", "epoch", "ids"]
+    assert sorted((r.codes, r.kept, r.epoch, len(r.ids)) for r in out.collect()) == [(1, "x", 2.0, 2), (2, "y", 3.0, 0)]
+
+
 def test_empty_table(empty):
     assert bpe.digests(empty, PATH, public_tokenizers.PATTERN).count() == 0
