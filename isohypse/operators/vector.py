@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..sources.binary import Ring, nested, signed_double_area
 from ..sources.model import GEOMETRY
+from .chains import chained
 
 Point = tuple[float, float]
 
@@ -23,28 +25,22 @@ Point = tuple[float, float]
 def assemble_rings(fragments: list[Ring]) -> tuple[list[Ring], list[Ring]]:
     """(closed rings, lines left over): fragments are joined where their ends are equal.
 
-    Starts from the first unused fragment and goes on at its tail only; an index of ends
-    keeps the work proportional to the number of fragments.
+    Fragments that are rings by themselves come first, then the joined ones by their first
+    fragment.  Where three fragments meet, the first two are joined.
     """
-    rings, loose = [], []
-    by_end: dict[Point, list[int]] = defaultdict(list)
-    for k, f in enumerate(fragments):
-        if len(f) >= 2 and f[0] != f[-1]:
-            by_end[f[0]].append(k)
-            by_end[f[-1]].append(k)
-    used = [False] * len(fragments)
-    for k, f in enumerate(fragments):
-        if used[k] or len(f) < 2:
-            continue
-        used[k], chain = True, list(f)
-        while chain[0] != chain[-1]:
-            at = next((j for j in by_end[chain[-1]] if not used[j]), None)
-            if at is None:
-                break
-            used[at] = True
-            g = fragments[at]
-            chain += g[1:] if g[0] == chain[-1] else g[-2::-1]
-        (rings if len(chain) >= 4 and chain[0] == chain[-1] else loose).append(chain)
+    own = [list(f) for f in fragments if len(f) >= 2]
+    rings = [f for f in own if f[0] == f[-1] and len(f) >= 4]
+    loose = [f for f in own if f[0] == f[-1] and len(f) < 4]
+    open_ = [f for f in own if f[0] != f[-1]]
+    name: dict[Point, int] = {}
+    ends = np.array([[name.setdefault(f[0], len(name)), name.setdefault(f[-1], len(name))] for f in open_], np.int64).reshape(-1, 2)
+    chain, place, turned, _ = chained(ends[:, 0], ends[:, 1])
+    joined: dict[int, Ring] = {}
+    for k in np.lexsort((place, chain)).tolist():
+        part = open_[k][::-1] if turned[k] else open_[k]
+        joined.setdefault(int(chain[k]), [part[0]]).extend(part[1:])
+    for line in joined.values():
+        (rings if len(line) >= 4 and line[0] == line[-1] else loose).append(line)
     return rings, loose
 
 

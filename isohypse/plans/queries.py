@@ -137,10 +137,10 @@ def _(spark, d):
 @query(
     "quake_circles",
     """SELECT event_id, k::INT AS k, round(lon+0.5/greatest(0.05,cos(radians(lat)))*cos(k*2*pi()/48),6) AS x, round(lat+0.5*sin(k*2*pi()/48),6) AS y
-    FROM v_points, (SELECT unnest(range(0,48)) AS k) WHERE mag >= 1.5""",
+    FROM v_points, (SELECT unnest(range(0,48)) AS k)""",
 )
 def _(spark, d):
-    p = V.points(spark, d).where("mag >= 1.5")
+    p = V.points(spark, d)
     out = p.select("event_id", F.posexplode(geo.circle(F.col("lon"), F.col("lat"), F.lit(0.5))).alias("k", "p"))
     return out.select("event_id", "k", R("p.x").alias("x"), R("p.y").alias("y"))
 
@@ -428,9 +428,9 @@ _AREAS_SQL = "(SELECT n_nationkey::BIGINT AS area_id, (n_nationkey::BIGINT*7919%
 _INSIDE = "abs(p.lon-a.cx)/20+abs(p.lat-a.cy)/15 < 1-1e-9"
 
 
-@query("point_in_ring", f"SELECT area_id, count(*) AS n FROM v_points p JOIN {_AREAS_SQL} a ON {_INSIDE} WHERE event_id%7<>0 AND abs(abs(p.lon-a.cx)/20+abs(p.lat-a.cy)/15-1) > 1e-9 GROUP BY area_id")
+@query("point_in_ring", f"SELECT area_id, count(*) AS n FROM v_points p JOIN {_AREAS_SQL} a ON {_INSIDE} WHERE abs(abs(p.lon-a.cx)/20+abs(p.lat-a.cy)/15-1) > 1e-9 GROUP BY area_id")
 def _(spark, d):
-    p = V.points(spark, d).where("event_id % 7 <> 0").select("event_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    p = V.points(spark, d).select("event_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
     met = joins.points_in_areas(p, _areas(spark, d), 10.0)
     edge = F.abs(F.abs(F.col("x") - (F.get(F.get("rings", 0), 0).x + 20.0)) / 20 + F.abs(F.col("y") - F.get(F.get("rings", 0), 0).y) / 15 - 1)
     return met.where(edge > 1e-9).groupBy("area_id").agg(F.count("*").alias("n"))
@@ -450,14 +450,14 @@ def _(spark, d):
 @query(
     "hole_to_shell",
     """SELECT hole_id, arg_min(shell_id, {'s': size, 'i': shell_id}) AS shell_id FROM (SELECT id AS hole_id, min_x AS x, min_y AS y FROM v_boxes) h JOIN (SELECT c_custkey AS shell_id, (c_custkey*7919%36000)/1e2-180 AS cx,
-    (c_custkey*104729%16000)/1e2-80 AS cy, c_custkey%4+1 AS size FROM customer WHERE c_custkey%10=0) s ON x > cx-size+0.003 AND x < cx+size+0.003 AND y > cy-size+0.003 AND y < cy+size+0.003 GROUP BY hole_id""",
+    (c_custkey*104729%16000)/1e2-80 AS cy, c_custkey%4+1 AS size FROM customer) s ON x > cx-size+0.003 AND x < cx+size+0.003 AND y > cy-size+0.003 AND y < cy+size+0.003 GROUP BY hole_id""",
 )
 def _(spark, d):
     b = V.boxes(spark, d)
     holes = b.select(F.col("id").alias("hole_id"), F.array(F.struct(F.col("min_x").alias("x"), F.col("min_y").alias("y"))).alias("ring"))
     key, size = F.col("id"), (F.col("id") % 4 + 1).cast("double")
     at = lambda sx, sy: F.struct((F.col("min_x") + size * sx + 0.003).alias("x"), (F.col("min_y") + size * sy + 0.003).alias("y"))
-    shells = b.where(key % 10 == 0).select(key.alias("shell_id"), F.array(at(-1, -1), at(1, -1), at(1, 1), at(-1, 1), at(-1, -1)).alias("ring"))
+    shells = b.select(key.alias("shell_id"), F.array(at(-1, -1), at(1, -1), at(1, 1), at(-1, 1), at(-1, -1)).alias("ring"))
     return joins.holes_to_shells(holes, shells, 2.0)
 
 
@@ -527,13 +527,13 @@ def _(spark, d):
 
 @query(
     "merge_collections",
-    "WITH m AS (SELECT 'src' || s_nationkey::VARCHAR AS source, s_suppkey AS pos, 'k' || (s_suppkey%9)::VARCHAR || '_' || s_suppkey::VARCHAR AS key, s_name AS value FROM supplier UNION ALL SELECT 'src' || s_nationkey::VARCHAR, s_suppkey, 'unit', s_name FROM supplier WHERE s_suppkey%5=0) SELECT source || '.' || key AS key, value FROM m UNION ALL SELECT key, min_by(value, pos) FROM m WHERE key='unit' GROUP BY key",
+    "WITH m AS (SELECT 'src' || s_nationkey::VARCHAR AS source, s_suppkey AS pos, 'k' || (s_suppkey%9)::VARCHAR || '_' || s_suppkey::VARCHAR AS key, s_name AS value FROM supplier UNION ALL SELECT 'src' || s_nationkey::VARCHAR, s_suppkey, 'unit', s_name FROM supplier) SELECT source || '.' || key AS key, value FROM m UNION ALL SELECT key, min_by(value, pos) FROM m WHERE key='unit' GROUP BY key",
 )
 def _(spark, d):
     s = V.table(spark, d, "supplier")
     source = F.concat(F.lit("src"), F.col("s_nationkey").cast("string"))
     own = s.select(source.alias("source"), F.col("s_suppkey").alias("pos"), F.concat(F.lit("k"), (F.col("s_suppkey") % 9).cast("string"), F.lit("_"), F.col("s_suppkey").cast("string")).alias("key"), F.col("s_name").alias("value"))
-    unit = s.where("s_suppkey % 5 = 0").select(source.alias("source"), F.col("s_suppkey").alias("pos"), F.lit("unit").alias("key"), F.col("s_name").alias("value"))
+    unit = s.select(source.alias("source"), F.col("s_suppkey").alias("pos"), F.lit("unit").alias("key"), F.col("s_name").alias("value"))
     return ordered.merged_metadata(own.unionByName(unit), ("unit",))
 
 
@@ -662,12 +662,14 @@ def _(spark, d):
 
 @query(
     "raster_blend",
-    """SELECT row, col, round(CASE WHEN NOT depth < 0 THEN value WHEN value < 0 THEN value+(depth-value)*w ELSE value END,6) AS value, round(CASE WHEN depth < 0 AND value < 0 THEN w ELSE 0 END,6) AS surveyed FROM (SELECT f.row, f.col, f.value, g.value AS depth, least(1,greatest(0,least(f.row+0.5,200-f.row-0.5,f.col+0.5,64-f.col-0.5)/(0.06*64))) AS w FROM v_field f JOIN v_field g ON g.row=least(floor((f.row+0.5)*100/200),99) AND g.col=least(floor((f.col+0.5)*32/64),31) WHERE f.row < 200)""",
+    """SELECT row, col, round(CASE WHEN NOT depth < 0 THEN value WHEN value < 0 THEN value+(depth-value)*w ELSE value END,6) AS value, round(CASE WHEN depth < 0 AND value < 0 THEN w ELSE 0 END,6) AS surveyed
+    FROM (SELECT f.row, f.col, f.value, g.value AS depth, least(1,greatest(0,least(f.row+0.5,n-f.row-0.5,f.col+0.5,32-f.col-0.5)/(0.06*least(n,32)))) AS w
+    FROM (SELECT row//2 AS row, col//2 AS col, value FROM v_field WHERE row%2=0 AND col%2=0) f, (SELECT max(row)//2+1 AS n, max(row)+1 AS m FROM v_field) JOIN v_field g ON g.row=least(floor((f.row+0.5)*m/n),m-1) AND g.col=2*f.col+1)""",
 )
 def _(spark, d):
     f = V.field(spark, d)
-    base, fine = f.where("row < 200"), f.where("row < 100 AND col < 32")
-    return raster.blend(base, fine, 200, 64, 100, 32).select("row", "col", R("value").alias("value"), R("surveyed").alias("surveyed"))
+    rows = f.agg(F.max("row")).first()[0] + 1
+    return raster.blend(raster.decimate(f, 2), f, (rows + 1) // 2, 32, rows, 64).select("row", "col", R("value").alias("value"), R("surveyed").alias("surveyed"))
 
 
 @query("region_areas")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from isohypse.functions import geo, strings
 from isohypse.operators import joins, ordered, raster, vector
+from isohypse.operators.chains import chained
 from isohypse.sinks import geojson as sink
 
 
@@ -58,6 +59,30 @@ def test_contours_close_and_saddles_follow_the_centre(spark):
     assert raster.contour_segments(cells(spark, [[5, 5], [5, 5]]), [0.0]).count() == 0
 
 
+def test_chains_do_not_depend_on_tiles(spark):
+    rng = np.random.default_rng(5)
+    grid = np.add.outer(np.sin(np.arange(30) / 3), np.cos(np.arange(25) / 4)) + rng.normal(0, 0.3, (30, 25))
+    segments = raster.contour_segments(cells(spark, grid), [0.0, 0.7]).cache()
+    links = {(s.level, frozenset(((s.r0, s.c0), (s.r1, s.c1)))) for s in segments.collect()}
+    seen = []
+    for tile in (1, 7, 1000):
+        chains = raster.stitch(segments, tile).collect()
+        walked = [(c.level, frozenset(((p.r, p.c), (q.r, q.c)))) for c in chains for p, q in zip(c.points, c.points[1:])]
+        assert len(walked) == len(links) and set(walked) == links
+        assert all(((c.points[0].r, c.points[0].c) == (c.points[-1].r, c.points[-1].c)) == c.closed for c in chains)
+        seen.append(sorted((c.level, c.closed, len(c.points)) for c in chains))
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_pieces_are_ordered_as_by_hand():
+    first, last = np.array([1, 3, 2]), np.array([2, 4, 1])  # a loop 1-2-1 and a line 3-4
+    chain, place, turned, closed = chained(first, last)
+    assert (chain.tolist(), place.tolist(), closed.tolist()) == ([0, 1, 0], [0, 0, 1], [True, False, True])
+    first, last = np.array([4, 2, 3]), np.array([3, 1, 2])  # 4-3, 3-2, 2-1
+    chain, place, turned, closed = chained(first, last)
+    assert (chain.tolist(), place.tolist(), turned.tolist(), closed.any()) == ([0, 0, 0], [0, 2, 1], [False, False, False], False)
+
+
 def test_hillshade_of_planes(spark):
     flat = raster.hillshade(cells(spark, np.zeros((4, 4))), 10.0).collect()
     assert all(r.value == pytest.approx(math.sin(math.radians(45))) for r in flat)
