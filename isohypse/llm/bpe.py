@@ -40,6 +40,7 @@ from collections.abc import Iterator
 from contextlib import suppress
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -97,17 +98,20 @@ def _literal(values: list, kind: str) -> Column:
 
 
 _SHIFT = 20  # bits of a rank beside the left id
-_FREE = -1  # no pair: taken from any left id and without its sign it is over all ranks
 
 
-def displaced(pairs: tuple[tuple[int, int, int], ...], n_ids: int) -> tuple[list[int], list[int]]:
-    """base and table: the rank of (x, y) is table[base[x] + y] - (x << 20), if that is from 0 to 2^20."""
+def displaced(pairs: tuple[tuple[int, int, int], ...], n_ids: int) -> tuple[list[int | None], list[int | None]]:
+    """base and table: the rank of (x, y) is table[base[x] + y] ^ (x << 20), if that is under 2^20.
+
+    What is missing (a token that begins no pair, a free place) is null and beyond the end.
+    """
     rows: dict[int, list[tuple[int, int]]] = {}
     for a, b, t in pairs:
         rows.setdefault(a, []).append((b, t))
-    base, window = np.zeros(n_ids, np.int64), 8192
+    base: list[int | None] = [None] * n_ids
+    window = 8192
     used = np.zeros(4 * (len(pairs) + n_ids) + window, bool)
-    table = np.full(len(used), _FREE, np.int64)
+    table: list[int | None] = [None] * len(used)
     first = 0
     for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
         own = np.array([b for b, _ in row])
@@ -124,59 +128,14 @@ def displaced(pairs: tuple[tuple[int, int, int], ...], n_ids: int) -> tuple[list
             at += window
         base[a] = at
         used[at + own] = True
-        table[at + own] = (a << _SHIFT) | np.array([t for _, t in row])
-    return base.tolist(), table[: int(base.max()) + n_ids].tolist()
-
+        for b, t in row:
+            table[at + b] = (a << _SHIFT) | t
+    return base, table[: int(np.flatnonzero(used).max()) + 1]
 
-def _hash(key: int | str) -> int:
-    """Spark's xxhash64 of a bigint or a string, as an unsigned number."""
-    data = key.encode() if isinstance(key, str) else key.to_bytes(8, "little", signed=True)
-    return xxhash.xxh64_intdigest(data, seed=42)
 
-
-def _placed(keys: list) -> tuple[list[int], list[int], int]:
-    """Displacement hashing: each key's slot, each bucket's shift, and the number of slots.
-
-    No two keys meet in a slot, so a lookup reads one slot.
-    """
-    hashes = [_hash(k) for k in keys]
-    size = 1 << max(4, len(keys).bit_length())
-    # keys of one bucket that have one slot can't be told apart by a shift: more slots do it
-    while len({(h & (size // 4 - 1), h >> 24 & (size - 1)) for h in hashes}) < len(hashes):
-        size *= 2
-    buckets: dict[int, list[int]] = {}
-    for i, h in enumerate(hashes):
-        buckets.setdefault(h & (size // 4 - 1), []).append(i)
-    shift, used, place = [0] * (size // 4), bytearray(size), [0] * len(keys)
-    for b, own in sorted(buckets.items(), key=lambda x: -len(x[1])):
-        base, d = [hashes[i] >> 24 & (size - 1) for i in own], 0
-        while any(used[(x + d) & (size - 1)] for x in base):
-            d += 1
-        shift[b] = d
-        for i, x in zip(own, base, strict=True):
-            place[i] = (x + d) & (size - 1)
-            used[place[i]] = 1
-    return place, shift, size
-
-
-class LiteralMap:
-    """A literal map whose lookups read one slot, for use inside higher-order functions."""
-
-    def __init__(self, entries: dict, key_type: str, value_type: str) -> None:
-        place, shift, self.size = _placed(list(entries))
-        at, to = [None] * self.size, [None] * self.size
-        for (k, v), p in zip(entries.items(), place, strict=True):
-            at[p], to[p] = k, v
-        self.at, self.to, self.shift = _literal(at, key_type), _literal(to, value_type), _literal(shift, "int")
-
-    def get_each(self, keys: Column) -> Column:
-        """For each key of an array its value, or null.  Each stage is computed once."""
-        mask = F.lit(self.size - 1)
-        slots = F.transform(
-            F.transform(keys, lambda k: F.xxhash64(k)),
-            lambda h: (F.shiftrightunsigned(h, 24) + F.get(self.shift, h.bitwiseAND(F.lit(self.size // 4 - 1)).cast("int"))).bitwiseAND(mask).cast("int"),
-        )
-        return F.zip_with(slots, keys, lambda i, k: F.when(F.get(self.at, i) == k, F.get(self.to, i)))
+def _hash(key: str) -> int:
+    """Spark's xxhash64 of a string, as an unsigned number."""
+    return xxhash.xxh64_intdigest(key.encode(), seed=42)
 
 
 def _let(value: Column, then) -> Column:
@@ -184,6 +143,7 @@ def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
+_HELD = 19  # bits of a hash: the map of texts inside tokens
 _LONG = 48  # bytes from which on a piece is cut before it is folded
 _SLICE = 500  # rows that are Python objects at once
 
@@ -202,45 +162,65 @@ class Folding:
         held = {t for t in merges.tokens if len(t) == 2}
         for t in merges.tokens:
             held.update(t[i : i + 3] for i in range(len(t) - 2))
-        self.held = LiteralMap({t.decode("latin-1"): True for t in sorted(held)}, "string", "boolean")
+        bits = np.zeros(1 << _HELD, np.uint8)
+        bits[[_hash(t.decode("latin-1")) & ((1 << _HELD) - 1) for t in held]] = 1
+        self.held = _literal(np.packbits(bits, bitorder="little").view(np.int32).tolist(), "int")
 
     def byte_ids(self, chars: Column) -> Column:
         """The ids of bytes given as characters of Latin-1."""
         return F.transform(F.split(chars, ""), lambda x: F.get(self.bytes, F.ascii(x)))
 
-    def fold(self, chars: Column) -> Column:
-        """The ids of a string of bytes (characters of Latin-1)."""
+    @staticmethod
+    def _step(base: Column, table: Column, s: Column, merged) -> Column:
+        """The state with the lowest-ranked pair merged; -1 at the end says that nothing is left to merge."""
+        ranks = F.zip_with(s, F.slice(s, 2, F.size(s)), lambda x, y: F.get(table, F.get(base, x) + y).bitwiseXOR(F.shiftleft(x.cast("bigint"), _SHIFT)))
+        done = F.concat(s, F.array(F.lit(-1)))
+        return _let(ranks, lambda r: _let(F.array_min(r), lambda t: F.when(t < F.lit(1 << _SHIFT), merged(r, t)).otherwise(done)))
+
+    def _steps(self, tables: tuple[Column, Column], n: Column, s: Column, merged) -> Column:
+        return F.aggregate(n, s, lambda s, _: F.when(F.element_at(s, -1) == -1, s).otherwise(self._step(*tables, s, lambda r, t: merged(s, r, t))))
+
+    def fold(self, tables: tuple[Column, Column], chars: Column) -> Column:
+        """The ids of a short string of bytes: a step merges one occurrence, the first of the lowest rank."""
+
+        def one(s: Column, ranks: Column, t: Column) -> Column:
+            return _let(F.array_position(ranks, t).cast("int"), lambda p: F.concat(F.slice(s, 1, p - 1), F.array(t.cast("int")), F.slice(s, p + 2, F.size(s))))
+
+        return F.array_remove(_let(self.byte_ids(chars), lambda ids: self._steps(tables, F.slice(ids, 2, F.size(ids)), ids, one)), -1)
 
-        def merged(s: Column, ranks: Column, t: Column) -> Column:
-            one = F.transform(s, lambda x, i: F.when(F.get(ranks, i) == t, t).when(F.get(ranks, i - 1) == t, -1).otherwise(x))
+    def fold_long(self, tables: tuple[Column, Column], chars: Column) -> Column:
+        """The ids of any string of bytes: a step merges all occurrences of the lowest rank.
+
+        Steps go in rounds, so that those after the last merge, each of which copies the
+        state, are few.
+        """
+
+        def every(s: Column, ranks: Column, t: Column) -> Column:
+            out = F.transform(s, lambda x, i: F.when(F.get(ranks, i) == t, t).when(F.get(ranks, i - 1) == t, -1).otherwise(x))
             # a pair of equal ids can overlap itself: replace() goes from left to right
-            x = F.get(self.twin, t).cast("string")
+            x = F.get(self.twin, t.cast("int")).cast("string")
             text = F.array_join(F.transform(s, lambda x: F.concat(F.lit("<"), x.cast("string"), F.lit(">"))), "")
             pair = F.concat(F.lit("<"), x, F.lit("><"), x, F.lit(">"))
             twin = F.split(F.regexp_replace(F.replace(text, pair, F.concat(F.lit("<"), t.cast("string"), F.lit(">"))), "^<|>$", ""), "><").cast("array<int>")
-            return F.when(F.get(self.twin, t).isNull(), F.array_remove(one, -1)).otherwise(twin)
-
-        def ranks(s: Column) -> Column:
-            """The rank of each place's pair; numbers from 2^20 on are none."""
-            return F.zip_with(
-                s,
-                F.slice(s, 2, F.size(s)),
-                lambda x, y: (F.get(self.table, F.get(self.base, x) + y) - F.shiftleft(x.cast("bigint"), _SHIFT)).bitwiseAND(F.lit((1 << 63) - 1)),
-            )
+            return F.when(x.isNull(), F.array_remove(out, -1).cast("array<int>")).otherwise(twin)
 
-        def step(s: Column) -> Column:
-            done = F.concat(s, F.array(F.lit(-1)))  # -1 at the end: nothing is left to merge
-            return _let(ranks(s), lambda r: _let(F.array_min(r), lambda t: F.when(t < F.lit(1 << _SHIFT), merged(s, r, t.cast("int"))).otherwise(done)))
+        def folded(ids: Column) -> Column:
+            rounds = F.array_repeat(F.lit(0), F.ceil(F.sqrt(F.size(ids))).cast("int"))
+            return _let(rounds, lambda n: F.aggregate(n, ids, lambda s, _: F.when(F.element_at(s, -1) == -1, s).otherwise(self._steps(tables, n, s, every))))
 
-        folded = lambda ids: F.aggregate(F.slice(ids, 2, F.size(ids)), ids, lambda s, _: F.when(F.element_at(s, -1) == -1, s).otherwise(step(s)))
         return F.array_remove(_let(self.byte_ids(chars), folded), -1)
 
+    def _held(self, texts: Column) -> Column:
+        """1 for each text that may be a token of two bytes or three bytes of a token: a bit by the text's hash."""
+        slot = lambda x: F.xxhash64(x).bitwiseAND(F.lit((1 << _HELD) - 1)).cast("int")
+        return F.transform(F.transform(texts, lambda x: F.when(x.isNotNull(), slot(x))), lambda h: F.getbit(F.get(self.held, F.shiftright(h, 5)), h.bitwiseAND(F.lit(31))))
+
     def parts(self, chars: Column) -> Column:
         """A string of bytes, cut between two bytes that no token of two bytes and no three bytes of a token hold together."""
 
         def cut(c: Column, two: Column, three: Column) -> Column:
-            across = lambda i: F.coalesce(F.get(two, i), F.get(three, i), F.get(three, i - 1))
-            return F.transform(c, lambda x, i: F.when(across(i), x).otherwise(F.concat(x, F.lit("\u0100"))))
+            held = lambda i: (F.get(two, i) == 1) | (F.get(three, i) == 1) | (F.get(three, i - 1) == 1)
+            return F.transform(c, lambda x, i: F.when(held(i), x).otherwise(F.concat(x, F.lit("\u0100"))))
 
         joined = lambda x, y: F.concat(x, y)
         marked = _let(
@@ -248,8 +228,8 @@ class Folding:
             lambda c: _let(
                 F.zip_with(c, F.slice(c, 2, F.size(c)), joined),
                 lambda two: _let(
-                    self.held.get_each(F.zip_with(two, F.slice(c, 3, F.size(c)), joined)),
-                    lambda three: _let(self.held.get_each(two), lambda known: cut(c, known, three)),
+                    self._held(F.zip_with(two, F.slice(c, 3, F.size(c)), joined)),
+                    lambda three: _let(self._held(two), lambda known: cut(c, known, three)),
                 ),
             ),
         )
@@ -258,37 +238,40 @@ class Folding:
     def words(self, words: Column) -> Column:
         """The ids of each word of an array."""
 
-        def ids(word: Column) -> Column:
-            chars = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-            parts = _let(chars, lambda c: F.when(F.octet_length(word) > _LONG, self.parts(c)).otherwise(F.array(c)))
-            return F.flatten(F.transform(parts, self.fold))
+        def ids(tables: tuple[Column, Column], word: Column, chars: Column) -> Column:
+            long = F.flatten(F.transform(self.parts(chars), lambda part: self.fold_long(tables, part)))
+            return F.when(F.octet_length(word) > _LONG, long).otherwise(self.fold(tables, chars))
+
+        # bound by lambdas, the tables stand in the plan, and in each task, once
+        def each(tables: tuple[Column, Column]) -> Column:
+            return F.transform(words, lambda w: _let(F.decode(F.encode(w, "UTF-8"), "ISO-8859-1"), lambda c: ids(tables, w, c)))
 
-        return F.transform(words, ids)
+        return _let(self.base, lambda base: _let(self.table, lambda table: each((base, table))))
 
 
 def _cut(pattern: str, ranks, epoch_words: int):
     """Rows with their pieces' codes: a token's id, or from the number of tokens on a word's number in its epoch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known, first = regex.compile(pattern).findall, ranks.value[0], len(ranks.value[1])
-        words: dict[str, int] = {}
-        epoch = 0
+        find, whole, first = regex.compile(pattern).findall, ranks.value[0], len(ranks.value[1])
+        known, epoch = dict(whole), 0
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(at, _SLICE)
                 epochs, codes, fresh = [], [], []
                 for text in part.column(1).to_pylist():
-                    if len(words) >= epoch_words:
-                        words, epoch = {}, epoch + 1
-                    own, new = [], []
-                    for piece in find(text or ""):
-                        code = known.get(piece)
-                        if code is None:
-                            code = words.get(piece)
+                    if len(known) - len(whole) >= epoch_words:
+                        known, epoch = dict(whole), epoch + 1
+                    pieces, new = find(text or ""), []
+                    own = list(map(known.get, pieces))
+                    if None in own:
+                        for k, code in enumerate(own):
                             if code is None:
-                                code = words[piece] = first + len(words)
-                                new.append(piece)
-                        own.append(code)
+                                piece = pieces[k]
+                                if piece not in known:
+                                    known[piece] = first + len(known) - len(whole)
+                                    new.append(piece)
+                                own[k] = known[piece]
                     epochs.append(epoch)
                     codes.append(np.array(own, np.int32).tobytes())
                     fresh.append(new)
@@ -302,18 +285,17 @@ def _filled(ranks, finish, names: list[str]):
     """The rows with the folded words' ids in their places; finish turns a row's lists of ids into columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, epoch, parts = ranks.value[1], -1, []
+        tokens, epoch, words = ranks.value[1], -1, None
         for batch in batches:
             folded, out = batch.column(3), []
-            ends = np.asarray(folded.offsets)
-            inner = folded.values
+            ends, inner = np.asarray(folded.offsets), folded.values
             bounds, flat = np.asarray(inner.offsets), np.asarray(inner.values)
             for k, (now, codes) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 if now != epoch:
-                    epoch, parts = now, [finish.word([i], tokens) for i in range(len(tokens))]
+                    epoch, words = now, finish(tokens)
                 for w in range(ends[k], ends[k + 1]):
-                    parts.append(finish.word(flat[bounds[w] : bounds[w + 1]].tolist(), tokens))
-                out.append(finish.row([parts[c] for c in np.frombuffer(codes, np.int32).tolist()]))
+                    words.add(flat[bounds[w] : bounds[w + 1]].tolist())
+                out.append(words.row(np.frombuffer(codes, np.int32).tolist()))
             columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(finish.kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
@@ -321,17 +303,18 @@ def _filled(ranks, finish, names: list[str]):
 
 
 class _Ids:
-    """Finishes a row as its array of ids."""
+    """Finishes a row as its array of ids; words by number, first the tokens."""
 
     kinds = (pa.list_(pa.int32()),)
 
-    @staticmethod
-    def word(ids: list[int], tokens: tuple[bytes, ...]) -> list[int]:
-        return ids
+    def __init__(self, tokens: tuple[bytes, ...]) -> None:
+        self.ids = [[i] for i in range(len(tokens))]
 
-    @staticmethod
-    def row(words: list[list[int]]) -> tuple:
-        return ([i for ids in words for i in ids],)
+    def add(self, ids: list[int]) -> None:
+        self.ids.append(ids)
+
+    def row(self, codes: list[int]) -> tuple:
+        return (list(chain.from_iterable(map(self.ids.__getitem__, codes))),)
 
 
 class _Digests:
@@ -339,14 +322,18 @@ class _Digests:
 
     kinds = (pa.int64(), pa.string(), pa.string())
 
-    @staticmethod
-    def word(ids: list[int], tokens: tuple[bytes, ...]) -> tuple[int, str, bytes]:
-        return len(ids), " ".join(map(str, ids)), b"".join([tokens[i] for i in ids])
+    def __init__(self, tokens: tuple[bytes, ...]) -> None:
+        self.tokens, self.sizes, self.texts, self.bytes = tokens, [1] * len(tokens), [str(i) for i in range(len(tokens))], list(tokens)
 
-    @staticmethod
-    def row(words: list[tuple[int, str, bytes]]) -> tuple:
-        ids = " ".join([w[1] for w in words])
-        return sum([w[0] for w in words]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([w[2] for w in words])).hexdigest()
+    def add(self, ids: list[int]) -> None:
+        self.sizes.append(len(ids))
+        self.texts.append(" ".join(map(str, ids)))
+        self.bytes.append(b"".join(map(self.tokens.__getitem__, ids)))
+
+    def row(self, codes: list[int]) -> tuple:
+        ids = " ".join(map(self.texts.__getitem__, codes)).encode()
+        data = b"".join(map(self.bytes.__getitem__, codes))
+        return sum(map(self.sizes.__getitem__, codes)), hashlib.sha256(ids).hexdigest(), hashlib.sha256(data).hexdigest()
 
 
 def _coded(kept: Column, text: Column, docs: DataFrame, ranks_path: str, pattern: str, finish, schema: str, epoch_words: int) -> DataFrame:
