@@ -6,23 +6,29 @@ same set are one class from the start; only classes are compared.
 1. A sketch of fixed size (one array of counters, summed over all tasks) estimates in how
    many classes each token stands.  Tokens are ordered by that estimate, rare ones first;
    any order gives right results, a good one gives few candidates.
-2. Two sets with overlap c share one of the first n - c + 1 tokens of each and two of the
-   first n - c + 2.  Rare tokens of the prefix are indexed singly.  Of the frequent tokens,
-   small sets index pairs out of the prefix that is longer by one; sets of `small_sets`
-   tokens or more, whose pairs would be many, index them singly; sets up to 5/4 of the
-   border do both, so that partners on its two sides meet.
-3. In each posting list, classes are linked to the smallest of a similar size, and these
-   links are verified against the texts.  Components of the links are found by label
-   propagation.  Where asked for, rounds of hubs link classes outside a list's largest component to a
-   member of it.  Then only pairs of one posting list that are still in different components
-   are verified, which completes the join without all pairs of a group of copies.  Bitmaps
-   of the sets rule out most of these first: a bit that only one set has is a token that
-   isn't shared.
+2. Two sets with overlap c share one of the first n - c + 1 tokens of each (the prefix), and
+   g + 1 of the first n - c + 1 + g.  Rare tokens of the prefix are indexed singly.  Frequent
+   tokens are indexed in pairs out of the prefix that is longer by g: dealt into g groups by
+   their hashes, two of the g + 1 shared ones stand in one group, so that only pairs within
+   groups are needed, and their number is in proportion to the prefix.  g follows the set's
+   size in powers of two; sets near a step use both values, so that partners meet.
+3. In each posting list, classes are linked to the most common one of a similar size (its
+   prefix holds the most frequent tokens, so that it is a centre of its group).  Candidates
+   are ruled out first by two exact bounds: a rare token of a prefix that no other class
+   lists can't be shared with a set whose prefix reaches further; and bits of one set's
+   bitmap that the other lacks are tokens that aren't shared.  The rest is verified against
+   the texts.
+4. Components of these links are found by label propagation.  Only pairs of one list that
+   are still in different components, and that the bounds leave, are then verified.  In each
+   list the largest component's members aren't compared with each other, so that a group of
+   copies doesn't cost its square.
 
 Cases: a null text, or one without words, has no tokens, n_shingles 0 and a component of
 its own; one to four words are one token; a null doc_id has a null component unless its
-class has other ids; repeated rows are in one class; an empty table gives an empty table;
-columns that the operator doesn't name are not read.
+class has other ids; repeated rows are in one class; among equally common classes the
+smallest is the centre, which doesn't change the result; a very long text is one set of
+whatever size; an empty table gives an empty table; columns that the operator doesn't name
+are not read.
 """
 
 from __future__ import annotations
@@ -33,12 +39,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _hashing as H
 from ._arrow import lists
-from ._packed import buckets, gathered, mapped, packed, unpacked
+from ._packed import buckets, mapped, packed, tasks, unpacked
 from ._session import cut
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -141,37 +147,64 @@ def _sketch(sets: DataFrame) -> tuple[np.ndarray, int]:
     return levels, int(8 * np.log2(1 + 64 + 4 * mean))
 
 
-def indexed(tokens: np.ndarray, levels: np.ndarray, frequent: int, small_sets: int) -> np.ndarray:
-    """The keys under which a set is indexed."""
+def _groups(n: int) -> tuple[int, ...]:
+    """The numbers of groups that a set of n tokens and its partners may use: powers of two near n / 10."""
+    return tuple(sorted({1 << max(0, (size // 10).bit_length() - 1) for size in (4 * n // 5, n, -(-5 * n // 4))}))
+
+
+def indexed(tokens: np.ndarray, levels: np.ndarray, frequent: int) -> tuple[np.ndarray, int, int, int]:
+    """The keys under which a set is indexed: first those of rare tokens, then those of pairs.
+
+    With the number of rare tokens, the place of the prefix's last token in the order of all
+    tokens, and how common the prefix is (0 to 255).
+    """
     n = len(tokens)
     rank = levels[tokens & np.uint64((1 << _SKETCH) - 1)]
     p = n - _least_overlap(n) + 1
-    order = np.lexsort((tokens, rank))[: min(n, p + 1)]
-    first, often = tokens[order[:p]], rank[order[:p]] >= frequent
-    out = [first[~often]]
-    if often.any():
-        if 5 * n >= 4 * small_sets:
-            out.append(first[often])
-        if n <= small_sets:
-            own = np.sort(tokens[order][rank[order] >= frequent])
-            a, b = np.triu_indices(len(own), 1)
-            out.append(H.mixed(own[a] * np.uint64(0x9E3779B97F4A7C15) + own[b]))
-    return H.mixed(np.unique(np.concatenate(out)))  # mixed, as a prefix holds the small ones: they spread evenly over buckets
-
-
-def _postings(docs: DataFrame, levels, frequent: int, small_sets: int) -> DataFrame:
-    """Links to verify (kind 0: a, b) and posting lists of three and more classes (kind 1: key, class, n)."""
+    order = np.lexsort((tokens, rank))
+    first = tokens[order[:p]][rank[order[:p]] < frequent]
+    out = [H.mixed(first)]
+    for g in _groups(n):
+        reach = order[: p + g]
+        own = tokens[reach][rank[reach] >= frequent]
+        if len(own) > 1:
+            own = own[np.lexsort((own, own >> np.uint64(40) & np.uint64(g - 1)))]
+            group = own >> np.uint64(40) & np.uint64(g - 1)
+            for d in range(1, int(np.unique(group, return_counts=True)[1].max())):
+                same = group[d:] == group[:-d]
+                out.append(H.mixed(own[:-d][same] * np.uint64(0x9E3779B97F4A7C15) + own[d:][same]))
+    pairs = np.unique(np.concatenate(out[1:])) if len(out) > 1 else np.zeros(0, np.uint64)
+    end = order[p - 1]
+    return np.r_[out[0], pairs], len(first), int(rank[end]) << 55 | int(tokens[end]) >> 9, int(rank[order[:p]].mean())
+
+
+_FOUND = "kind int, key bigint, a bigint, b bigint, n bigint, last bigint, bits binary"
+_STAR, _LIST, _TWO, _CLASS = range(4)
+
+
+def _postings(docs: DataFrame, levels, frequent: int) -> DataFrame:
+    """What the posting lists give.
+
+    kind 0: a and b are to be compared; kind 1: class a (n tokens) stands in the list of key,
+    of three classes and more; kind 2: a and b are alone in n lists of rare tokens; kind 3:
+    class a has n tokens, b of them rare ones of its prefix, with `last` and a bitmap.
+    Kind 1 with b = 1 is a list of a rare token.
+    """
     spark = docs.sparkSession
     sent, n_buckets = spark.sparkContext.broadcast(levels), buckets(spark)
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        seen, keys, classes, sizes, held = set(), [], [], [], 0
-
-        def flush() -> dict:
-            got = list(packed(np.concatenate(keys), [np.concatenate(classes), np.concatenate(sizes)], n_buckets))
-            for x in (keys, classes, sizes):
+        seen, keys, columns, classes, held = set(), [], [[], [], [], []], [], 0
+
+        def flush() -> Iterator[dict]:
+            got = list(packed(np.concatenate(keys), [np.concatenate(c) for c in columns], n_buckets))
+            yield {"bucket": [k for k, _ in got], "kind": [_LIST] * len(got), "block": [b for _, b in got]}
+            name = np.array([c[0] for c in classes], np.int64)
+            more = [np.array([c[k] for c in classes], kind) for k, kind in ((1, np.uint32), (2, np.uint32), (3, np.int64))]
+            got = list(packed(H.mixed(name.view(np.uint64)), [name, *more, *np.array([c[4] for c in classes]).T], n_buckets))
+            yield {"bucket": [k for k, _ in got], "kind": [_CLASS] * len(got), "block": [b for _, b in got]}
+            for x in (keys, classes, *columns):
                 x.clear()
-            return {"bucket": [k for k, _ in got], "block": [b for _, b in got]}
 
         for batch in it:
             for t in lists(batch, "text")[0]:
@@ -179,50 +212,84 @@ def _postings(docs: DataFrame, levels, frequent: int, small_sets: int) -> DataFr
                 if not len(tokens) or (c := signature(tokens)) in seen:
                     continue
                 seen.add(c)
-                own = indexed(tokens, sent.value, frequent, small_sets)
+                own, rare, last, common = indexed(tokens, sent.value, frequent)
                 keys.append(own)
-                classes.append(np.full(len(own), c, np.int64))
-                sizes.append(np.full(len(own), len(tokens), np.uint32))
+                kinds = np.zeros(len(own), np.uint8)
+                kinds[:rare] = 1
+                for into, x in zip(columns, (np.full(len(own), c, np.int64), np.full(len(own), len(tokens), np.uint32), kinds, np.full(len(own), common, np.uint8)), strict=True):
+                    into.append(x)
+                classes.append((c, len(tokens), rare, last, bitmap(tokens)))
                 held += len(own)
                 if held > 3_000_000:
-                    yield flush()
+                    yield from flush()
                     held = 0
         if keys:
-            yield flush()
+            yield from flush()
+
+    def empty_but(size: int, **columns) -> dict:
+        none = [None] * size
+        return {k: columns.get(k, none) for k in ("kind", "key", "a", "b", "n", "last", "bits")}
+
+    def classes_of(blocks: list[bytes]) -> Iterator[dict]:
+        _, name, n, rare, last, *bits = unpacked(blocks, [np.uint64, np.int64, np.uint32, np.uint32, np.int64] + [np.int64] * _WORDS)
+        name, at = np.unique(name, return_index=True)
+        own = np.ascontiguousarray(np.stack(bits, 1)[at])
+        yield empty_but(len(name), kind=[_CLASS] * len(name), a=name, b=rare[at].astype(np.int64), n=n[at].astype(np.int64), last=last[at], bits=[x.tobytes() for x in own])
 
     def meet(blocks: list[bytes]) -> Iterator[dict]:
-        key, cls, n = unpacked(blocks, [np.uint64, np.int64, np.uint32])
+        key, cls, n, rare, common = unpacked(blocks, [np.uint64, np.int64, np.uint32, np.uint8, np.uint8])
         order = np.lexsort((cls, n, key))
-        key, cls, n = key[order], cls[order], n[order]
+        key, cls, n, rare, common = (x[order] for x in (key, cls, n, rare, common))
         new = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]
-        key, cls, n = key[new], cls[new], n[new].astype(np.int64)
+        key, cls, n, rare, common = (x[new] for x in (key, cls, n.astype(np.int64), rare, common))
         edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        many = np.flatnonzero(np.diff(edges) > 1)
-        links, lists_, known = [], [], set()
-        for i in many.tolist():
+        size = np.diff(edges)
+        two = edges[:-1][size == 2]
+        if len(two):
+            pairs, times = np.unique(np.stack([np.minimum(cls[two], cls[two + 1]), np.maximum(cls[two], cls[two + 1]), ]), axis=1, return_inverse=True)
+            k = np.bincount(times.ravel(), weights=rare[two], minlength=pairs.shape[1]).astype(np.int64)
+            yield empty_but(pairs.shape[1], kind=[_TWO] * pairs.shape[1], a=pairs[0], b=pairs[1], n=k)
+        links, known = [], set()
+        for i in np.flatnonzero(size > 2).tolist():
             a, b = int(edges[i]), int(edges[i + 1])
             own, sizes = cls[a:b], n[a:b]
             if (name := own.tobytes()) in known:  # the same classes under another key
                 continue
             known.add(name)
             at = 0
-            while at < len(own):  # the smallest, and those it can be similar to
+            while at < len(own):  # those of similar size, and the most common of them
                 end = int(np.searchsorted(sizes, sizes[at] * 5 // 4, "right"))
                 if end > at + 1:
-                    links.append(np.stack([np.full(end - at - 1, own[at]), own[at + 1 : end]]))
+                    hub = at + int(np.argmax(common[a + at : a + end]))
+                    links.append(np.stack([np.full(end - at - 1, own[hub]), np.delete(own[at:end], hub - at)]))
                 at = max(end, at + 1)
-            if len(own) > 2:
-                lists_.append((key[a], own, sizes))
         if links:
             pairs = np.unique(np.sort(np.concatenate(links, 1), 0), axis=1)
-            none = [None] * pairs.shape[1]
-            yield {"kind": [0] * len(none), "key": none, "a": pairs[0], "b": pairs[1], "n": none}
-        for k, own, sizes in lists_:
-            none = [None] * len(own)
-            yield {"kind": [1] * len(own), "key": np.full(len(own), k).view(np.int64), "a": own, "b": none, "n": sizes}
+            yield empty_but(pairs.shape[1], kind=[_STAR] * pairs.shape[1], a=pairs[0], b=pairs[1])
+        many = np.repeat(size > 2, size)
+        if many.any():
+            yield empty_but(int(many.sum()), kind=[_LIST] * int(many.sum()), key=key[many].view(np.int64), a=cls[many], b=rare[many].astype(np.int64), n=n[many])
 
-    blocks = mapped(docs.select("text"), send, "bucket int, block binary")
-    return gathered(blocks, meet, "kind int, key bigint, a bigint, b bigint, n bigint")
+    blocks = mapped(docs.select("text"), send, "bucket int, kind int, block binary")
+
+    def each(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        by: dict[tuple[int, int], list[bytes]] = {}
+        for batch in it:
+            for k, kind, block in zip(*lists(batch, "bucket", "kind", "block"), strict=True):
+                by.setdefault((k, kind), []).append(block)
+        for k, kind in sorted(by):
+            yield from (classes_of if kind == _CLASS else meet)(by.pop((k, kind)))
+
+    return mapped(blocks.repartition(tasks(spark), "bucket"), each, _FOUND)
+
+
+def _judged(found: DataFrame) -> DataFrame:
+    """class, n, alone, last, bits: `alone` rare tokens of its prefix are in no other class's."""
+    met = found.where(f"kind = {_LIST} AND b = 1").select(F.col("a").alias("class"), F.lit(1).cast("bigint").alias("k"))
+    two = found.where(f"kind = {_TWO} AND n > 0").select(F.explode(F.array("a", "b")).alias("class"), F.col("n").alias("k"))
+    met = met.union(two).groupBy("class").agg(F.sum("k").alias("k"))
+    own = found.where(f"kind = {_CLASS}").select(F.col("a").alias("class"), "n", F.col("b").alias("rare"), "last", "bits")
+    return own.join(met, "class", "left").select("class", "n", (F.col("rare") - F.coalesce("k", F.lit(0))).alias("alone"), "last", "bits")
 
 
 _WORDS = 16  # of 64 bits: a set's bitmap
@@ -235,31 +302,59 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def _can_link() -> Column:
+def can_link(n, m, alone_n, alone_m, last_n, last_m) -> np.ndarray:
+    """Whether sizes and prefixes leave room for a link (nine times the overlap is at least four times both sizes)."""
+    left, right = n - alone_n, m - alone_m
+    most = np.where(last_n < last_m, left, np.where(last_n > last_m, right, np.maximum(left, right)))
+    most = np.minimum(most, np.minimum(n, m))
+    return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * most >= 4 * (n + m))
+
+
+def bitmaps_allow(n, m, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Whether bitmaps leave room for a link: each bit of one set alone is a token that isn't shared."""
-    lost = lambda x, y: sum((F.bit_count(F.col(f"{x}{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}{k}")))) for k in range(_WORDS)), F.lit(0))
-    least = F.lit(4) * (F.col("n") + F.col("m"))  # nine times the least overlap of a link
-    return (9 * (F.col("n") - lost("p", "q")) >= least) & (9 * (F.col("m") - lost("q", "p")) >= least)
+    lost = lambda x, y: np.bitwise_count(x & ~y).sum(1).astype(np.int64)
+    least = 4 * (n + m)
+    return (9 * (n - lost(p, q)) >= least) & (9 * (m - lost(q, p)) >= least)
+
+
+_JUDGED = ("n", "alone", "last", "bits")
+
+
+def _possible(pairs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The pairs (a, b) that both bounds leave."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            col = {k: batch.column(batch.schema.get_field_index(k)) for k in batch.schema.names}
+            num = {k: col[k].to_numpy(zero_copy_only=False) for k in col if not k.endswith("bits")}
+            p, q = (np.frombuffer(b"".join(col[k].to_pylist()), np.uint64).reshape(-1, _WORDS) for k in ("bits", "m_bits"))
+            good = can_link(num["n"], num["m_n"], num["alone"], num["m_alone"], num["last"], num["m_last"])
+            good &= bitmaps_allow(num["n"], num["m_n"], p, q)
+            yield {"a": num["a"][good], "b": num["b"][good]}
+
+    both = pairs.join(judged.withColumnRenamed("class", "a"), "a")
+    both = both.join(judged.select(F.col("class").alias("b"), *[F.col(k).alias(f"m_{k}") for k in _JUDGED]), "b")
+    return mapped(both, run, "a bigint, b bigint")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class, block, p0...: compressed texts and bitmaps of the wanted classes, one of each."""
+    """class, block: compressed texts of the wanted classes, one of each."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         seen, pack = set(), zstandard.ZstdCompressor(level=3)
         for batch in it:
-            classes, blocks, bits = [], [], []
+            classes, blocks = [], []
             for t in lists(batch, "text")[0]:
                 tokens = shingles(t)
                 if len(tokens) and (c := signature(tokens)) not in seen:
                     seen.add(c)
                     classes.append(c)
                     blocks.append(pack.compress(t.encode()))
-                    bits.append(bitmap(tokens))
-            by_word = np.array(bits, np.int64).reshape(-1, _WORDS).T
-            yield {"class": classes, "block": blocks, **{f"p{k}": by_word[k] for k in range(_WORDS)}}
+            yield {"class": classes, "block": blocks}
 
-    all_texts = mapped(docs.select("text"), run, "class bigint, block binary, " + ", ".join(f"p{k} bigint" for k in range(_WORDS)))
+    all_texts = mapped(docs.select("text"), run, "class bigint, block binary")
     return all_texts.join(wanted, "class", "left_semi").dropDuplicates(["class"])
 
 
@@ -302,62 +397,89 @@ def connected(links: DataFrame) -> DataFrame:
             return roots
 
 
-def _open_lists(lists_: DataFrame, roots: DataFrame) -> DataFrame:
-    """The posting lists with classes of more than one component, with each class's root."""
-    post = lists_.join(roots, lists_["class"] == roots["node"], "left").withColumn("root", F.coalesce("root", "class")).drop("node")
-    many = post.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return post.join(many, "key", "left_semi")
+_ROWS = 256  # of a list's classes that are compared with all others at once
 
 
-def _joined(docs: DataFrame, small_sets: int, hub_rounds: int = 0, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _open_pairs(lists_: DataFrame, judged: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of one list in different components that sizes and prefixes leave, each once.
+
+    A list's largest component is on one side only.  A class without a component is one of
+    its own.
+    """
+    post = lists_.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    many = post.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    post = post.join(many, "key", "left_semi").join(judged.drop("bits"), "class")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        parts = [[x.to_numpy(zero_copy_only=False) for x in b.columns] for b in it if b.num_rows]
+        if not parts:
+            return
+        key, cls, root, n, alone, last = (np.concatenate([p[k] for p in parts]) for k in range(6))
+        order = np.argsort(key, kind="stable")
+        key, cls, root, n, alone, last = (x[order] for x in (key, cls, root, n, alone, last))
+        edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        found, held = [], 0
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            names, size = np.unique(root[a:b], return_counts=True)
+            outside = a + np.flatnonzero(root[a:b] != names[np.argmax(size)])
+            for at in range(0, len(outside), _ROWS):
+                i = outside[at : at + _ROWS, None]
+                j = np.arange(a, b)[None, :]
+                ok = (root[i] != root[j]) & can_link(n[i], n[j], alone[i], alone[j], last[i], last[j])
+                x, y = np.nonzero(ok)
+                x, y = cls[i[x, 0]], cls[a + y]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+                held += len(x)
+            if held > 500_000:
+                pairs = np.unique(np.concatenate(found, 1), axis=1)
+                yield {"a": pairs[0], "b": pairs[1]}
+                found, held = [], 0
+        if found:
+            pairs = np.unique(np.concatenate(found, 1), axis=1)
+            yield {"a": pairs[0], "b": pairs[1]}
+
+    post = post.select("key", "class", "root", "n", "alone", "last").repartition(tasks(lists_.sparkSession), "key")
+    return mapped(post, run, "a bigint, b bigint").distinct()
+
+
+def _joined(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents with classes, verified links, and components of linked classes.
 
     The links are enough for the components; with `whole` they are all there are.
     """
     sets = cut(_sets(docs))
     levels, frequent = _sketch(sets)
-    found = cut(_postings(docs, levels, frequent, small_sets))
-    pairs = cut(found.where("kind = 0").select("a", "b").distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).union(found.where("kind = 1").select(F.col("a").alias("class"))).distinct()
-    texts = cut(_texts(docs, wanted))
-    links = cut(_verified(pairs, texts))
+    found = cut(_postings(docs, levels, frequent))
+    judged = cut(_judged(found))
+    pairs = found.where(f"kind IN ({_STAR}, {_TWO})").select("a", "b").distinct()
+    pairs = cut(_possible(pairs, judged))
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    links = cut(_verified(pairs, cut(_texts(docs, ends(pairs)))))
     roots = connected(links)
-    bits = [f"p{k}" for k in range(_WORDS)]
     # with no roots each class counts as a component of its own, so that no pair is left out
-    known = roots.limit(0) if whole else roots
-    lists_ = _open_lists(found.where("kind = 1").select("key", F.col("a").alias("class"), "n"), known)
-    lists_ = cut(lists_.drop("root").join(texts.select("class", *bits), "class"))
-    # hubs: in each list a member of its largest component meets the classes outside it; the
-    # lists of a group of copies have different hubs, so that a class finds its group by one of many
-    for seed in range(hub_rounds):
-        post = _open_lists(lists_, roots)
-        lot = F.xxhash64("class", "key", F.lit(seed))
-        hub = post.groupBy("key", "root").agg(F.count("*").alias("size"), F.min_by(F.struct(F.col("class").alias("b"), F.col("n").alias("m"), *[F.col(k).alias(f"q{k[1:]}") for k in bits]), lot).alias("hub"))
-        hub = hub.groupBy("key").agg(F.max_by(F.struct(F.col("root").alias("root2"), "hub"), F.struct("size", "root")).alias("h")).select(F.col("key").alias("key2"), "h.root2", "h.hub.*")
-        near = post.join(hub, (post["key"] == hub["key2"]) & (post["root"] != hub["root2"]) & (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")) & _can_link())
-        near = near.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
-        near = cut(near.join(pairs, ["a", "b"], "left_anti"))
-        pairs = cut(pairs.union(near))
-        more = cut(_verified(near, texts))
-        if not more.limit(1).count():
-            break
-        links = cut(links.union(more))
-        roots = connected(links)
-    # what is left: members of one list in different components
-    post = cut(_open_lists(lists_, known if whole else roots))
-    other = post.select(F.col("key").alias("key2"), F.col("class").alias("b"), F.col("n").alias("m"), F.col("root").alias("root2"), *[F.col(k).alias(f"q{k[1:]}") for k in bits])
-    rest = post.join(other, (post["key"] == other["key2"]) & (post["class"] < other["b"]) & (post["root"] != other["root2"]) & (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")) & _can_link())
-    rest = cut(rest.select(F.col("class").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"))
-    more = cut(_verified(rest, texts))
-    if more.limit(1).count():
-        links = cut(links.union(more))
-        roots = connected(links)
+    lists_ = found.where(f"kind = {_LIST}").select("key", F.col("a").alias("class"))
+    rest = _open_pairs(lists_, judged, roots.limit(0) if whole else roots)
+    rest = cut(_possible(rest.join(pairs, ["a", "b"], "left_anti"), judged))
+    if rest.limit(1).count():
+        more = cut(_verified(rest, cut(_texts(docs, ends(rest)))))
+        if more.limit(1).count():
+            links = cut(links.union(more)) if whole else cut(_contracted(links, more, roots))
+            roots = connected(links)
     return sets.where("kind = 0").select("doc_id", "n", "class"), links, roots
 
 
-def components(docs: DataFrame, small_sets: int = 64) -> DataFrame:
+def _contracted(links: DataFrame, more: DataFrame, roots: DataFrame) -> DataFrame:
+    """The links, and of the new ones one between each two components."""
+    named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    met = more.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    met = met.withColumn("x", F.coalesce("root_a", "a")).withColumn("y", F.coalesce("root_b", "b"))
+    one = met.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min(F.struct("a", "b")).alias("m"))
+    return links.union(one.select("m.a", "m.b"))
+
+
+def components(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, class."""
-    rows, _, roots = _joined(docs, small_sets)
+    rows, _, roots = _joined(docs)
     classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("low"))
     by_root = classes.join(roots, classes["class"] == roots["node"], "left").withColumn("root", F.coalesce("root", "class"))
     lowest = by_root.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -366,28 +488,28 @@ def components(docs: DataFrame, small_sets: int = 64) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class")
 
 
-def link_counts(docs: DataFrame, small_sets: int = 64) -> DataFrame:
+def link_counts(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, class, n_links: the number of other classes (sets of shingles) that its own is linked to.
 
     All candidates are verified, also those within a component, so that the cost grows
     with the number of links.
     """
-    rows, links, _ = _joined(docs, small_sets, whole=True)
+    rows, links, _ = _joined(docs, whole=True)
     degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
     out = rows.join(degree, rows["class"] == degree["c"], "left")
     return out.select("doc_id", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def representatives(docs: DataFrame, small_sets: int = 64, max_sent: int = 2_000_000) -> DataFrame:
+def representatives(docs: DataFrame, max_sent: int = 2_000_000) -> DataFrame:
     """Of each component the document with the smallest doc_id, with all columns."""
-    judged = cut(components(docs, small_sets).select("doc_id", "component_id"))
+    judged = cut(components(docs).select("doc_id", "component_id"))
     gone = judged.where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
     repeated = judged.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if repeated.limit(1).count():  # rows that share an id: of those with one text one stays
         twice = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
         docs = docs.join(repeated, "doc_id", "left_anti").select(docs.columns).union(twice)
     if gone.count() > max_sent:
-        return docs.join(gone.withColumnRenamed("doc_id", "_gone"), docs["doc_id"] == F.col("_gone"), "left_anti")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.doc_id for r in gone.collect()], np.int64)))
 
     def kept(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

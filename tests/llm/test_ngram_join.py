@@ -61,8 +61,7 @@ def test_chains_of_near_copies_and_shared_passages(spark):
     rows += [(len(rows) + k, " ".join(passage + [word() for _ in range(6)])) for k in range(40)]
     rows += [(500 + k, " ".join(passage[: 5 + k % 9])) for k in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for small in (64, 20, 0):
-        assert result(J.components(docs, small)) == brute(rows)
+    assert result(J.components(docs)) == brute(rows)
 
 
 def test_links_are_counted_within_groups_too(spark):
@@ -79,7 +78,7 @@ def test_links_are_counted_within_groups_too(spark):
     want = {i: sum(linked(x, y) for y in set(sets.values())) for i, x in sets.items()}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert max(want.values()) > 2
-    assert {r.doc_id: r.n_links for r in J.link_counts(docs, 20).collect()} == want
+    assert {r.doc_id: r.n_links for r in J.link_counts(docs).collect()} == want
 
 
 def test_frequent_tokens_are_indexed_in_combinations(spark, monkeypatch):
@@ -89,8 +88,56 @@ def test_frequent_tokens_are_indexed_in_combinations(spark, monkeypatch):
     real = J._sketch
     monkeypatch.setattr(J, "_sketch", lambda sets: (real(sets)[0], 20))  # nearly all tokens count as frequent
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for small in (64, 30, 0):
-        assert result(J.components(docs, small)) == brute(rows)
+    assert result(J.components(docs)) == brute(rows)
+
+
+def test_large_sets_of_frequent_tokens(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(60):
+        own = base[rng.randrange(8) :]
+        for _ in range(rng.randint(0, 9)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(30)}"
+        rows.append((k, " ".join(own)))
+    rows += [(100 + k, " ".join(base[: rng.randint(5, 400)])) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    real = J._sketch
+    for frequent in (9, 30, 255):
+        monkeypatch.setattr(J, "_sketch", lambda sets, f=frequent: (real(sets)[0], f))
+        assert result(J.components(docs)) == brute(rows)
+
+
+def test_partners_share_a_number_of_groups():
+    for n in range(1, 3000):
+        for m in range(-(-4 * n // 5), 5 * n // 4 + 1):
+            assert set(J._groups(n)) & set(J._groups(m)) & {1 << max(0, (x // 10).bit_length() - 1) for x in (n, m)}
+
+
+def test_bounds_never_rule_out_a_link():
+    rng = np.random.default_rng(8)
+    levels = rng.integers(0, 40, 1 << J._SKETCH).astype(np.uint8)
+    sets = []
+    for _ in range(20):
+        base = rng.integers(0, 1 << 63, rng.integers(5, 300), dtype=np.uint64)
+        for _ in range(6):
+            own = base[rng.random(len(base)) > rng.random() * 0.2]
+            sets.append(np.unique(np.r_[own, rng.integers(0, 1 << 63, rng.integers(0, 12), dtype=np.uint64)]))
+    sets = [s for s in sets if len(s)]
+    keys = [J.indexed(s, levels, 30) for s in sets]
+    held = defaultdict(set)
+    for k, (own, rare, _, _) in enumerate(keys):
+        for x in own.tolist():
+            held[x].add(k)
+    alone = [sum(len(held[x]) == 1 for x in own[:rare].tolist()) for own, rare, _, _ in keys]
+    linked = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if J.linked(a, b):
+                linked += 1
+                assert J.can_link(*(np.array(v) for v in (len(a), len(b), alone[i], alone[j], keys[i][2], keys[j][2])))
+                assert set(keys[i][0].tolist()) & set(keys[j][0].tolist())
+    assert linked > 50
 
 
 def test_bitmaps_never_rule_out_a_link():
