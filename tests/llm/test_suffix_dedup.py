@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from isohypse.llm import suffix_dedup as S
 
@@ -53,5 +54,37 @@ def test_every_window_has_a_trigger_of_its_own_content():
     assert (again[37:] == m[100:151]).all()
 
 
+def test_rows_whose_names_agree_in_their_lower_bits(spark, monkeypatch):
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows = [(k, base[k : 200 + k] + str(k) * 60) for k in range(8)]
+    real = S.row_key
+    monkeypatch.setattr(S, "row_key", lambda i, d: (real(i, d) >> 48 << 48) | 5)
+    names = [S.row_key(i, t.encode()) for i, t in rows]
+    sent = list(S._send_triggers(50, 1, 5)(iter([pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})])))
+    blocks = [b for x in sent for b in x["block"]]
+    batch = pa.RecordBatch.from_pydict({"bucket": [0] * len(blocks), "kind": [k for x in sent for k in x["kind"]], "row": [0] * len(blocks), "block": blocks})
+    told = set()
+    for x in S._find_shared(1, 5)(iter([batch])):
+        for b in x["block"]:
+            told |= set(S._unpack(b, (S._TAG,))[0][0].view(np.int64).tolist())
+    assert len(set(names)) == len(rows) and told == set(names)
+
+
+def test_parts_and_buckets_do_not_change_the_result(spark, monkeypatch):
+    rng = random.Random(10)
+    base = ["".join(rng.choice("abcd ") for _ in range(400)) for _ in range(4)]
+    rows = []
+    for k in range(60):
+        own, at = base[rng.randrange(4)], rng.randrange(200)
+        rows.append((rng.randrange(50), own[at : at + rng.randrange(200)] + str(k) * rng.randrange(3) + own[:90]))
+    rows.append((99, base[0] * 2500))  # 1 MB
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert result(S.dedup(docs)) == want
+    monkeypatch.setattr(S, "_BUCKET", 20_000)
+    assert result(S.dedup(docs)) == want
+
+
 def test_empty_table(empty):
     assert S.dedup(empty).count() == 0
