@@ -726,3 +726,6 @@ def _(spark, d):
     sheet = (F.floor(F.col("lon") / 20) * 100 + F.floor(F.col("lat") / 20)).cast("bigint")
     labels = p.select(sheet.alias("sheet"), "layer", F.col("event_id").cast("string").alias("name"), (-F.col("mag")).alias("rank"), ((F.col("lon") + 180) * 40).alias("x"), ((F.col("lat") + 90) * 40).alias("y"), F.lit(60.0).alias("width"), F.lit(14.0).alias("height"), (F.col("event_id") % 30).cast("double").alias("angle"))
     return ordered.thin_labels(labels)
+
+
+from . import frames, layers  # noqa: E402, F401  (they add their queries)

@@ -90,5 +90,7 @@ SQL = {
 
 def with_views(sql: str) -> str:
     """The SQL with the views it names in front."""
-    used = [f"{k} AS ({v})" for k, v in SQL.items() if k in sql]
-    return ("WITH " + ", ".join(used) + " " if used else "") + sql
+    used = ", ".join(f"{k} AS ({v})" for k, v in SQL.items() if k in sql)
+    if not used:
+        return sql
+    return f"WITH {used}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {used} {sql}"
