@@ -18,10 +18,10 @@ same set are one class from the start; only classes are compared.
    lists can't be shared with a set whose prefix reaches further; and bits of one set's
    bitmap that the other lacks are tokens that aren't shared.  The rest is verified against
    the texts.
-4. Components of these links are found by label propagation.  Only pairs of one list that
-   are still in different components, and that the bounds leave, are then verified.  In each
-   list the largest component's members aren't compared with each other, so that a group of
-   copies doesn't cost its square.
+4. Components of these links are found by label propagation.  In each list, every class is
+   then compared with the one of another component that by its bitmap is nearest; and what is
+   still apart, and what the bounds leave, is verified in full.  The largest component's
+   members aren't compared with each other, so that a group of copies doesn't cost its square.
 
 Cases: a null text, or one without words, has no tokens, n_shingles 0 and a component of
 its own; one to four words are one token; a null doc_id has a null component unless its
@@ -310,11 +310,14 @@ def can_link(n, m, alone_n, alone_m, last_n, last_m) -> np.ndarray:
     return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * most >= 4 * (n + m))
 
 
-def bitmaps_allow(n, m, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Whether bitmaps leave room for a link: each bit of one set alone is a token that isn't shared."""
+def room(n, m, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """What bitmaps leave of a link, negative if none: each bit of one set alone is a token that isn't shared."""
     lost = lambda x, y: np.bitwise_count(x & ~y).sum(1).astype(np.int64)
-    least = 4 * (n + m)
-    return (9 * (n - lost(p, q)) >= least) & (9 * (m - lost(q, p)) >= least)
+    return 9 * np.minimum(n - lost(p, q), m - lost(q, p)) - 4 * (n + m)
+
+
+def _words(bits: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(-1, _WORDS)
 
 
 _JUDGED = ("n", "alone", "last", "bits")
@@ -329,9 +332,8 @@ def _possible(pairs: DataFrame, judged: DataFrame) -> DataFrame:
                 continue
             col = {k: batch.column(batch.schema.get_field_index(k)) for k in batch.schema.names}
             num = {k: col[k].to_numpy(zero_copy_only=False) for k in col if not k.endswith("bits")}
-            p, q = (np.frombuffer(b"".join(col[k].to_pylist()), np.uint64).reshape(-1, _WORDS) for k in ("bits", "m_bits"))
             good = can_link(num["n"], num["m_n"], num["alone"], num["m_alone"], num["last"], num["m_last"])
-            good &= bitmaps_allow(num["n"], num["m_n"], p, q)
+            good &= room(num["n"], num["m_n"], *(_words(col[k].to_pylist()) for k in ("bits", "m_bits"))) >= 0
             yield {"a": num["a"][good], "b": num["b"][good]}
 
     both = pairs.join(judged.withColumnRenamed("class", "a"), "a")
@@ -397,28 +399,40 @@ def connected(links: DataFrame) -> DataFrame:
             return roots
 
 
-_ROWS = 256  # of a list's classes that are compared with all others at once
+_ROWS = 64  # of a list's classes that are compared with all others at once
+_PAIRS = 100_000  # of which bitmaps are compared at once
 
 
-def _open_pairs(lists_: DataFrame, judged: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of one list in different components that sizes and prefixes leave, each once.
+def _open_pairs(lists_: DataFrame, judged: DataFrame, roots: DataFrame, best: bool) -> DataFrame:
+    """Pairs of one list in different components that both bounds leave, each once.
 
     A list's largest component is on one side only.  A class without a component is one of
-    its own.
+    its own.  With `best`, each class gives one pair a list, that with the most room.
     """
     post = lists_.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     many = post.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    post = post.join(many, "key", "left_semi").join(judged.drop("bits"), "class")
+    post = post.join(many, "key", "left_semi").join(judged, "class")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        parts = [[x.to_numpy(zero_copy_only=False) for x in b.columns] for b in it if b.num_rows]
+        parts, bits = [], []
+        for b in it:
+            if b.num_rows:
+                parts.append([x.to_numpy(zero_copy_only=False) for x in b.columns[:6]])
+                bits.append(_words(b.column(6).to_pylist()))
         if not parts:
             return
         key, cls, root, n, alone, last = (np.concatenate([p[k] for p in parts]) for k in range(6))
+        bits = np.concatenate(bits)
         order = np.argsort(key, kind="stable")
         key, cls, root, n, alone, last = (x[order] for x in (key, cls, root, n, alone, last))
         edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         found, held = [], 0
+
+        def once() -> dict:
+            pairs = np.unique(np.concatenate(found, 1), axis=1)
+            found.clear()
+            return {"a": pairs[0], "b": pairs[1]}
+
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             names, size = np.unique(root[a:b], return_counts=True)
             outside = a + np.flatnonzero(root[a:b] != names[np.argmax(size)])
@@ -427,18 +441,22 @@ def _open_pairs(lists_: DataFrame, judged: DataFrame, roots: DataFrame) -> DataF
                 j = np.arange(a, b)[None, :]
                 ok = (root[i] != root[j]) & can_link(n[i], n[j], alone[i], alone[j], last[i], last[j])
                 x, y = np.nonzero(ok)
-                x, y = cls[i[x, 0]], cls[a + y]
-                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+                x, y = i[x, 0], a + y
+                left = np.concatenate([np.zeros(0, np.int64), *(room(n[x[k : k + _PAIRS]], n[y[k : k + _PAIRS]], bits[order[x[k : k + _PAIRS]]], bits[order[y[k : k + _PAIRS]]]) for k in range(0, len(x), _PAIRS))])
+                x, y, left = x[left >= 0], y[left >= 0], left[left >= 0]
+                if best and len(x):
+                    by = np.lexsort((-left, x))
+                    by = by[np.r_[True, x[by][1:] != x[by][:-1]]]
+                    x, y = x[by], y[by]
+                found.append(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])]))
                 held += len(x)
             if held > 500_000:
-                pairs = np.unique(np.concatenate(found, 1), axis=1)
-                yield {"a": pairs[0], "b": pairs[1]}
-                found, held = [], 0
+                yield once()
+                held = 0
         if found:
-            pairs = np.unique(np.concatenate(found, 1), axis=1)
-            yield {"a": pairs[0], "b": pairs[1]}
+            yield once()
 
-    post = post.select("key", "class", "root", "n", "alone", "last").repartition(tasks(lists_.sparkSession), "key")
+    post = post.select("key", "class", "root", "n", "alone", "last", "bits").repartition(tasks(lists_.sparkSession), "key")
     return mapped(post, run, "a bigint, b bigint").distinct()
 
 
@@ -456,11 +474,15 @@ def _joined(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame,
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     links = cut(_verified(pairs, cut(_texts(docs, ends(pairs)))))
     roots = connected(links)
-    # with no roots each class counts as a component of its own, so that no pair is left out
     lists_ = found.where(f"kind = {_LIST}").select("key", F.col("a").alias("class"))
-    rest = _open_pairs(lists_, judged, roots.limit(0) if whole else roots)
-    rest = cut(_possible(rest.join(pairs, ["a", "b"], "left_anti"), judged))
-    if rest.limit(1).count():
+    # first each class's nearest one of other components, then all pairs between those still apart
+    for best in (False,) if whole else (True, False):
+        # with no roots each class counts as a component of its own, so that no pair is left out
+        rest = _open_pairs(lists_, judged, roots.limit(0) if whole else roots, best)
+        rest = cut(rest.join(pairs, ["a", "b"], "left_anti"))
+        if not rest.limit(1).count():
+            break
+        pairs = cut(pairs.union(rest))
         more = cut(_verified(rest, cut(_texts(docs, ends(rest)))))
         if more.limit(1).count():
             links = cut(links.union(more)) if whole else cut(_contracted(links, more, roots))
