@@ -302,6 +302,30 @@ class Scanner:
             at += step
         return last
 
+    @staticmethod
+    def _ended(a: Automaton, data: bytes, at: int, failed: list) -> int:
+        """The end of the longest match from data[at] on, or 0.
+
+        `failed` holds the place and the states of a run that failed: a run that comes to the
+        same state at the same place fails too, so that many beginnings of one unfinished
+        match cost no more than the text's length.
+        """
+        begin, known = failed or (0, ())
+        s, last, own, start = 0, -1, [], at
+        while at < len(data):
+            s = a.next[256 * s + data[at]]
+            if s == a.dead:
+                break
+            if a.accepts[s]:
+                last = at
+            elif last < 0 and 0 <= at - begin < len(known) and known[at - begin] == s:
+                return 0
+            own.append(s)
+            at += 1
+        if last < 0:
+            failed[:] = [start, own]
+        return last + 1
+
     def _passes(self, rule: Rule, data: bytes, start: int, end: int) -> bool:
         if end - start < rule.least:
             return False
@@ -317,14 +341,14 @@ class Scanner:
             if row[256]:
                 ends.append((i, row[256]))
             i += 1
-        out, over = [], [0] * len(self.rules)
+        out, over, failed = [], [0] * len(self.rules), [[] for _ in self.rules]
         for i, bits in ends:
             for k, rule in enumerate(self.rules):
                 if bits >> k & 1 and i >= over[k]:
                     start = self._longest(self.backward[k], data, i, -1, over[k] - 1)
                     if start < 0:
                         continue
-                    end = self._longest(self.forward[k], data, start, 1, len(data)) + 1
+                    end = self._ended(self.forward[k], data, start, failed[k])
                     if not end:
                         continue
                     over[k] = end

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from isohypse.llm import secrets as S
 
@@ -44,3 +45,11 @@ def test_table(documents, rows, empty):
         want.append((str(i), *[sum(x[1] == k for x in b) for k in range(3)], hashlib.sha256(text.encode()).hexdigest()))
     assert sorted((str(r.doc_id), r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in out) == sorted(want)
     assert S.scan(empty).count() == 0
+
+
+def test_many_unfinished_beginnings_cost_the_length_of_the_text():
+    began = time.perf_counter()
+    assert S.spans("eyJ" * 300_000) == []
+    token = "eyJabcdefgh1.eyJabcdefgh2.sssssssss"
+    assert [x[1] for x in S.spans("eyJ" * 1000 + "abcdefgh." + token)] == [7]
+    assert time.perf_counter() - began < 20
