@@ -17,6 +17,7 @@ operator doesn't name are not read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import re
 
 import ahocorasick
@@ -170,5 +171,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: in
         return docs.mapInArrow(kept, docs.schema)
     rows = scanned(docs, sent, size).groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_set("hit")))).alias("n_hit"))
     dirty = rows.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    dirty = dirty.select(F.col("doc_id").alias("_dirty"), F.col("text_hash").alias("_hash"))
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(F.col("_dirty")) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == F.col("_hash")), "left_anti")
+    of, digest = f"doc_{uuid.uuid4().hex}", f"hash_{uuid.uuid4().hex}"  # names that no column of the input has
+    dirty = dirty.select(F.col("doc_id").alias(of), F.col("text_hash").alias(digest))
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(F.col(of)) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == F.col(digest)), "left_anti")

@@ -92,24 +92,27 @@ def fit(docs: DataFrame, sample: int = 400, dictionary: int = 96_000, narrow: fl
     """Learns from text and non-null lang of all rows given (the caller leaves held-out rows out)."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(17))
+    order = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit(17))
     wanted = F.lit(False)
     for lang, n in counts.items():
         share = min(1.0, 2 * sample / n)
         wanted = wanted | ((F.col("lang") == lang) & (order <= min((1 << 63) - 1, int(-(1 << 63) + share * ((1 << 64) - 1)))))
-    # at most about twice the sample of each language; long texts give a stretch, so that many texts fit in
-    part = rows.where(wanted).select("lang", order.alias("at"), F.substring("text", 1, 4 * dictionary // sample + 1000).alias("text"))
+    # at most about twice the sample of each language, equal rows once
+    part = rows.where(wanted).select("lang", order.alias("at"), "text").groupBy("lang", "at").agg(F.first("text").alias("text"))
     found: dict[str, list[tuple[int, str]]] = {}
     for r in part.collect() if counts else []:
         found.setdefault(r.lang, []).append((r["at"], r.text))
     made = {}
     for lang, own in found.items():
-        texts = list(dict.fromkeys(folded(t) for _, t in sorted(own)[:sample]))
+        texts = [t.encode() for t in dict.fromkeys(folded(t) for _, t in sorted(own)[:sample])]
+        size = max(200, 2 * dictionary // max(1, len(texts)))
+        # a stretch of each text in turn, then a second one, until the dictionary is full
+        stretches = sorted((k // size, i) for i, t in enumerate(texts) for k in range(0, len(t), size))
         raw, room = [], dictionary
-        for t in texts:
-            piece = t.encode()[: max(200, 2 * dictionary // max(1, len(texts)))]
+        for k, i in stretches:
             if room <= 0:
                 break
+            piece = texts[i][k * size : (k + 1) * size]
             raw.append(piece[:room])
             room -= len(piece) + 1
         if any(raw):

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,31 +104,23 @@ def _shape(word: str) -> str:
 
 def tokens_of(text: str) -> list[tuple[int, int, str, bool]]:
     """(start, end, bare word, whether it begins a new stretch) of the tokens near digits and at signs."""
-    wanted: list[tuple[int, int]] = []
+    if not _SEED.search(text):
+        return []
+    spans = [m.span() for m in _TOKEN.finditer(text)]
+    begins = [s for s, _ in spans]
+    near: dict[int, None] = {}
     for m in _SEED.finditer(text):
-        s, e = m.span()
-        least = wanted[-1][1] if wanted else 0
-        while s > least and not text[s - 1].isspace():  # back to the token's beginning
-            s -= 1
-        left, right = s, e
-        for _ in range(_WINDOW):  # a few tokens to both sides, looked for in a bounded stretch
-            a = text.rfind(" ", max(0, left - 60), max(0, left - 1))
-            left = a + 1 if a >= 0 and left > 0 else max(0, left - 60)
-            b = text.find(" ", right + 1, right + 60)
-            right = b if b >= 0 else min(len(text), right + 60)
-        if wanted and left <= wanted[-1][1]:
-            wanted[-1] = (wanted[-1][0], max(right, wanted[-1][1]))
-        else:
-            wanted.append((left, right))
-    out = []
-    for left, right in wanted:
-        first = True
-        for m in _TOKEN.finditer(text, left, right):
-            word = m[0].strip(_STRIP)
-            if word:
-                s = m.start() + m[0].index(word)
-                out.append((s, s + len(word), word, first))
-                first = False
+        k = bisect_right(begins, m.start()) - 1
+        near.update(dict.fromkeys(range(max(0, k - _WINDOW), min(len(spans), k + _WINDOW + 1))))
+    out, last, first = [], -2, True
+    for k in sorted(near):
+        first, last = first or k != last + 1, k
+        s, e = spans[k]
+        word = text[s:e].strip(_STRIP)
+        if word:
+            s += text[s:e].index(word)
+            out.append((s, s + len(word), word, first))
+            first = False
     return out
 
 
@@ -240,7 +233,11 @@ def learn(docs: list[tuple[list[list[int]], list[int], list[tuple[int, int]], li
 
 def fit(docs: DataFrame, sample: int = 2000) -> Field:
     """Learns from the patterns' spans in at most `sample` documents with digits or at signs."""
-    part = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(23)), F.xxhash64("text")).limit(sample)
+    own = docs.where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit(23)).alias("lot"))
+    n = max(1, own.count())
+    # about twice the sample by a bound on the lot, so that no task sends more than its share
+    bound = min((1 << 63) - 1, int(-(1 << 63) + min(1.0, 2 * sample / n) * ((1 << 64) - 1)))
+    part = own.where(F.col("lot") <= bound).orderBy("lot").limit(sample).select("text")
 
     def rows(batch: pa.RecordBatch) -> dict:
         out: dict = {"x": [], "y": [], "chain": [], "skip": []}

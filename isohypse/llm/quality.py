@@ -18,6 +18,7 @@ the operator doesn't name are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -151,19 +152,20 @@ def _joined(of: DataFrame, common: DataFrame) -> DataFrame:
 def without_boilerplate(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     """The texts with boilerplate lines removed (all columns kept): the operator's text output."""
     common = cut(boilerplate(docs, host, "text", **limits))
-    grouped = common.groupBy("host").agg(F.collect_set("line").alias("_common")).withColumnRenamed("host", "_host")
-    joined = docs.join(grouped, docs[host].eqNullSafe(F.col("_host")), "left")
+    of, gone_lines = f"host_{uuid.uuid4().hex}", f"lines_{uuid.uuid4().hex}"  # names that no column of the input has
+    grouped = common.groupBy("host").agg(F.collect_set("line").alias(gone_lines)).withColumnRenamed("host", of)
+    joined = docs.join(grouped, docs[host].eqNullSafe(F.col(of)), "left")
     kinds = joined.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, sets = lists(batch, "text", "_common")
+            texts, sets = lists(batch, "text", gone_lines)
             kept = []
             for t, c in zip(texts, sets, strict=True):
                 gone = set(c or ())
                 kept.append(t if not gone or t is None else "\n".join(x for x in t.split("\n") if not any(h in gone for h in line_hashes(x)[0])))
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(kept, pa.string()))
 
-    return joined.mapInArrow(run, kinds).drop("_host", "_common")
+    return joined.mapInArrow(run, kinds).drop(of, gone_lines)
 
 

@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Scorer:
         return Scorer({})
     share = min(1.0, sample / n)
     bound = min((1 << 63) - 1, int(-(1 << 63) + share * ((1 << 64) - 1)))
-    chosen = own.where(F.xxhash64(F.col("doc_id").cast("string"), F.lit(29)) <= bound).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).limit(2 * sample)
+    chosen = own.where(F.xxhash64(F.col("doc_id").cast("string"), F.lit(29)) <= bound).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     wanted = {r.doc_id: r.toxic for r in chosen.collect()}
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
@@ -184,8 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Scorer:
         return {"toxic": [x for x, _ in rows], "text": [t for _, t in rows]}
 
     rows = map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), picked, "toxic int, text string")
-    # a text that stands there often is one example; a long one gives its words, not its length
-    got = rows.groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", F.substring("text", 1, 20_000).alias("text")).toLocalIterator(prefetchPartitions=True)
+    # a text that stands there often is one example
+    got = rows.groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text").toLocalIterator(prefetchPartitions=True)
     toxic_texts, other_texts, all_rows = [], [], []
     for r in got:
         all_rows.append((r.toxic, r.text))
