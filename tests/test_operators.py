@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isohypse.functions import geo, strings
-from isohypse.operators import joins, ordered, raster, vector
+from isohypse.operators import bands, joins, ordered, raster, vector
 from isohypse.operators.chains import chained
 from isohypse.sinks import geojson as sink
 
@@ -46,6 +46,26 @@ def test_areas_of_a_cone_equal_the_disc(spark):
         assert area == pytest.approx(want, rel=0.01)
 
 
+def test_regions_and_bands_as_polygons(spark):
+    axis = np.linspace(-1, 1, 41)
+    x, y = np.meshgrid(axis, axis)
+    hill = 100 * np.exp(-8 * (np.hypot(x, y) - 0.5) ** 2) - 60 * np.exp(-8 * ((x - 0.7) ** 2 + (y + 0.7) ** 2))  # a ring with a hollow
+    hill[[0, -1], :] = hill[:, [0, -1]] = -50
+    f, levels = cells(spark, hill).cache(), [20.0, 50.0, 80.0]
+    total = lambda rings: abs(sum((1 if k == 0 else -1) * abs(vector.signed_double_area([(p.x, p.y) for p in r][:-1])) / 2 for k, r in enumerate(rings)))
+    areas = {r.level: r.area for r in raster.region_area(f, levels).collect()}
+    got = {}
+    for r in bands.regions(f, levels, 41, 41).collect():
+        got[r.level] = got.get(r.level, 0) + total(r.rings)
+        assert len(r.rings) >= 1
+    assert got == pytest.approx(areas, abs=1e-6)
+    made = {}
+    for r in bands.bands(f, levels, 41, 41).collect():
+        made[r.low] = made.get(r.low, 0) + total(r.rings)
+    want = {20.0: areas[20.0] - areas[50.0], 50.0: areas[50.0] - areas[80.0], 80.0: areas[80.0]}
+    assert made == pytest.approx(want, abs=1e-6)
+
+
 def test_contours_close_and_saddles_follow_the_centre(spark):
     axis = np.linspace(-1, 1, 21)
     bowl = np.hypot(*np.meshgrid(axis, axis))
