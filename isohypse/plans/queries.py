@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, strings, tags
-from ..operators import joins, orbits, ordered, raster, vector
+from ..operators import bands, joins, orbits, ordered, raster, vector
 from ..sinks import geojson as sink
 from . import views as V
 from .dimensions import GROUP_ORDER, GROUPS, groups, label_limit, mark_symbol, symbol_parts
@@ -410,9 +410,13 @@ def _(spark, d):
 # ---- joins -------------------------------------------------------------------------------
 
 
-@query("overlap_pairs_bucketed", "SELECT a.id AS first, b.id AS second FROM v_boxes a JOIN v_boxes b ON a.id < b.id AND a.max_x >= b.min_x AND a.min_x <= b.max_x AND a.max_y >= b.min_y AND a.min_y <= b.max_y")
+_WIDER = "(SELECT id, min_x, min_y, max_x+4 AS max_x, max_y+4 AS max_y FROM v_boxes)"
+
+
+@query("overlap_pairs_bucketed", f"SELECT a.id AS first, b.id AS second FROM {_WIDER} a JOIN {_WIDER} b ON a.id < b.id AND a.max_x >= b.min_x AND a.min_x <= b.max_x AND a.max_y >= b.min_y AND a.min_y <= b.max_y")
 def _(spark, d):
-    return joins.overlapping_pairs(V.boxes(spark, d), 1.0)
+    wider = V.boxes(spark, d).withColumns({"max_x": F.col("max_x") + 4, "max_y": F.col("max_y") + 4})
+    return joins.overlapping_pairs(wider, 5.0)
 
 
 def _areas(spark, d) -> DataFrame:
@@ -672,9 +676,28 @@ def _(spark, d):
     return raster.blend(raster.decimate(f, 2), f, (rows + 1) // 2, 32, rows, 64).select("row", "col", R("value").alias("value"), R("surveyed").alias("surveyed"))
 
 
-@query("region_areas")
+@query(
+    "region_areas",
+    f"""SELECT level, round(sum(CASE mask WHEN 15 THEN 1 WHEN 1 THEN ab*ad/2 WHEN 2 THEN (1-ab)*bc/2 WHEN 4 THEN (1-bc)*(1-dc)/2 WHEN 8 THEN (1-ad)*dc/2 WHEN 3 THEN (ad+bc)/2 WHEN 6 THEN (2-ab-dc)/2 WHEN 12 THEN (2-ad-bc)/2 WHEN 9 THEN (ab+dc)/2
+    WHEN 14 THEN 1-ab*ad/2 WHEN 13 THEN 1-(1-ab)*bc/2 WHEN 11 THEN 1-(1-bc)*(1-dc)/2 WHEN 7 THEN 1-(1-ad)*dc/2 WHEN 5 THEN CASE WHEN a+b+c+d > 0 THEN 1-(1-ab)*bc/2-(1-ad)*dc/2 ELSE ab*ad/2+(1-bc)*(1-dc)/2 END
+    WHEN 10 THEN CASE WHEN a+b+c+d > 0 THEN 1-ab*ad/2-(1-bc)*(1-dc)/2 ELSE (1-ab)*bc/2+(1-ad)*dc/2 END ELSE 0 END),3) AS area FROM (SELECT *, a/nullif(a-b,0) AS ab, b/nullif(b-c,0) AS bc, d/nullif(d-c,0) AS dc, a/nullif(a-d,0) AS ad FROM {_MASKS}) GROUP BY level""",
+)
 def _(spark, d):
-    return raster.region_area(V.field(spark, d), LEVELS)
+    return raster.region_area(V.field(spark, d), LEVELS).select("level", F.round("area", 3).alias("area"))
+
+
+@query("elevation_bands")
+def elevation_bands(spark, d):
+    f = V.field(spark, d)
+    rows = f.agg(F.max("row")).first()[0] + 1
+    return bands.bands(f, LEVELS, rows, 64).select("band", "low", "high", "rings")
+
+
+@query("shade_bands")
+def _(spark, d):
+    f = V.field(spark, d)
+    rows = f.agg(F.max("row")).first()[0] + 1
+    return bands.shade_bands(f, rows, 64, 30.0, 4).select("tone", "rings")
 
 
 @query("stitch_contours")

@@ -103,6 +103,23 @@ def test_pieces_are_ordered_as_by_hand():
     assert (chain.tolist(), place.tolist(), turned.tolist(), closed.any()) == ([0, 0, 0], [0, 2, 1], [False, False, False], False)
 
 
+def test_smoothing_divides_after_all_passes(spark):
+    rng = np.random.default_rng(6)
+    grid = rng.normal(0, 1, (7, 6))
+    grid[2, 3] = grid[5, 0] = np.nan
+
+    def blurred(g):
+        p = np.pad(g, 1, mode="edge")
+        return sum(p[i : i + 7, j : j + 6] for i in range(3) for j in range(3)) / 9
+
+    v, k = np.nan_to_num(grid), (~np.isnan(grid)).astype(float)
+    for _ in range(3):
+        v, k = blurred(v), blurred(k)
+    got = {(r.row, r.col): r.value for r in raster.smooth(cells(spark, grid), 3).collect()}
+    for (r, c), value in got.items():
+        assert math.isnan(value) if np.isnan(grid[r, c]) else value == pytest.approx(v[r, c] / k[r, c])
+
+
 def test_hillshade_of_planes(spark):
     flat = raster.hillshade(cells(spark, np.zeros((4, 4))), 10.0).collect()
     assert all(r.value == pytest.approx(math.sin(math.radians(45))) for r in flat)

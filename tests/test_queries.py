@@ -20,6 +20,19 @@ def test_query_without_sql_runs(name, spark, sf_dir):
     assert plans.QUERIES[name][0](spark, sf_dir).count() >= 0
 
 
+def test_bands_have_the_areas_of_their_cells(spark, sf_dir):
+    from isohypse.operators.vector import signed_double_area
+
+    areas = {r.level: r.area for r in plans.QUERIES["region_areas"][0](spark, sf_dir).collect()}
+    made: dict[float, float] = {}
+    for r in plans.QUERIES["elevation_bands"][0](spark, sf_dir).collect():
+        size = [abs(signed_double_area([(p.x, p.y) for p in ring][:-1])) / 2 for ring in r.rings]
+        made[r.low] = made.get(r.low, 0) + size[0] - sum(size[1:])
+    levels = sorted(areas)
+    want = {a: areas[a] - (areas[b] if b is not None else 0) for a, b in zip(levels, [*levels[1:], None], strict=True)}
+    assert made == pytest.approx(want, abs=0.01)
+
+
 def test_streamlines_cover_the_whole_field(spark, sf_dir):
     rows = V.field(spark, sf_dir).agg({"row": "max"}).first()[0] + 1
     out = plans.QUERIES["streamlines"][0](spark, sf_dir).selectExpr("int(r / 64) AS part").distinct().collect()
