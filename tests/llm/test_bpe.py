@@ -18,8 +18,8 @@ def test_ids_and_round_trip_equal_the_library(documents, rows):
     for i, t in rows:
         ids = own.encode_ordinary(t or "")
         want.append((str(i), len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
-    for epoch_words in (300_000, 50):
-        got = bpe.digests(documents, PATH, public_tokenizers.PATTERN, epoch_words).collect()
+    for limits in ((300_000, 20_000, 200_000), (50, 0, 0), (50, 60, 100)):
+        got = bpe.digests(documents, PATH, public_tokenizers.PATTERN, *limits).collect()
         assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted(want)
 
 
