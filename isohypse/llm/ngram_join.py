@@ -220,7 +220,7 @@ def _postings(docs: DataFrame, levels, frequent: int) -> DataFrame:
                     into.append(x)
                 classes.append((c, len(tokens), rare, last, bitmap(tokens)))
                 held += len(own)
-                if held > 3_000_000:
+                if held > 1_000_000:
                     yield from flush()
                     held = 0
         if keys:
