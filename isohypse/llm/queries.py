@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, ngram_join, pii, quality, secrets, suffix_dedup, toxicity, urls
+from . import bpe, decontaminate, filter_audit, language, ngram_join, pii, quality, secrets, suffix_dedup, toxicity, urls
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -56,7 +56,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_decontaminate, op3_quality, op4_language, op5_toxicity, op6_pii, op7_suffix_dedup, op8_secrets, op9_url_filter, op10_ngram_join)}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_decontaminate, op3_quality, op4_language, op5_toxicity, op6_pii, op7_suffix_dedup, op8_secrets, op9_url_filter, op10_ngram_join, op13_filter_audit)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACED = r"[^\x20\x09-\x0D]+"
@@ -96,5 +100,24 @@ links AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id =
 r(doc_id, reach) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, links.b FROM r JOIN links ON links.a = r.reach)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)"""
 
+_OP13 = rf"""
+WITH l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS ws, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+m AS (SELECT part, (len(ws) < 100)::INT + 2*(100*len(list_distinct(ws)) < 80*len(ws))::INT + 4*(100*length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10*length(t))::INT + 8*regexp_matches(t, '[#$%&*|]')::INT + 16*coalesce(doc_id > least, false)::INT AS mask,
+  coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM d LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, mask, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+fs AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM fs a, fs b, fs c, fs d, fs e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, i::INT AS step, 1 << (ascii(filter_order[i])-65) AS nxt, coalesce(list_sum([1 << (ascii(x)-65) for x in string_split(filter_order[1:i-1], '') if x <> '']), 0)::INT AS applied FROM (SELECT filter_order, unnest(range(1, 6)) AS i FROM o)),
+r AS (SELECT part, filter_order, step, nxt,
+  sum(CASE WHEN mask & (nxt | applied) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+  sum(CASE WHEN mask & nxt > 0 AND mask & applied = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN mask & nxt > 0 AND mask & applied > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN mask = nxt THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN mask & nxt > 0 AND mask & applied = 0 AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+  sum(CASE WHEN mask & nxt > 0 AND mask & applied = 0 AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+FROM g, s GROUP BY part, filter_order, step, nxt)
+SELECT * EXCLUDE (nxt), sum(removed) OVER (PARTITION BY part, nxt)::BIGINT AS shapley FROM r"""
+
 #: Only operators whose whole result SQL can express; the others are tested by brute force.
-ORACLES: dict[str, str] = {"op2_decontaminate": _OP2, "op3_quality": _OP3, "op10_ngram_join": _OP10}
+ORACLES: dict[str, str] = {"op2_decontaminate": _OP2, "op3_quality": _OP3, "op10_ngram_join": _OP10, "op13_filter_audit": _OP13}
