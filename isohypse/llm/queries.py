@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, filter_audit, language, ngram_join, pii, quality, secrets, suffix_dedup, toxicity, urls
+from . import bpe, clustering, decontaminate, filter_audit, language, ngram_join, pii, quality, secrets, suffix_dedup, toxicity, urls
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -56,11 +56,15 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(_read(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_decontaminate, op3_quality, op4_language, op5_toxicity, op6_pii, op7_suffix_dedup, op8_secrets, op9_url_filter, op10_ngram_join, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_decontaminate, op3_quality, op4_language, op5_toxicity, op6_pii, op7_suffix_dedup, op8_secrets, op9_url_filter, op10_ngram_join, op11_centroids, op13_filter_audit)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACED = r"[^\x20\x09-\x0D]+"
@@ -100,6 +104,15 @@ links AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id =
 r(doc_id, reach) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, links.b FROM r JOIN links ON links.a = r.reach)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)"""
 
+_OP11 = f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, [floor(64*x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = 64),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id))-1)::INT AS k, v AS c FROM e ORDER BY sha256('1:' || vec_id) LIMIT 16),
+{"".join(f"""a{r} AS MATERIALIZED (SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': list_sum([(p[1]-p[2])*(p[1]-p[2]) for p in list_zip(v, c)])::BIGINT, 'k': k}}) AS m FROM e, c{r} GROUP BY rid),
+s{r} AS (SELECT k, list((s - ((s % n)+n) % n) // n ORDER BY i)::BIGINT[] AS c FROM (SELECT m.k AS k, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT m, v, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY m.k, i) GROUP BY k),
+c{r+1} AS MATERIALIZED (SELECT k, coalesce(s{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN s{r} USING (k)),
+""" for r in range(3))}a3 AS (SELECT rid, any_value(vec_id) AS vec_id, min({{'d': list_sum([(p[1]-p[2])*(p[1]-p[2]) for p in list_zip(v, c)])::BIGINT, 'k': k}}) AS m FROM e, c3 GROUP BY rid)
+SELECT vec_id, m.k AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.k))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a3 JOIN c3 ON c3.k = m.k"""
+
 _OP13 = rf"""
 WITH l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
 d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS ws, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
@@ -120,4 +133,4 @@ FROM g, s GROUP BY part, filter_order, step, nxt)
 SELECT * EXCLUDE (nxt), sum(removed) OVER (PARTITION BY part, nxt)::BIGINT AS shapley FROM r"""
 
 #: Only operators whose whole result SQL can express; the others are tested by brute force.
-ORACLES: dict[str, str] = {"op2_decontaminate": _OP2, "op3_quality": _OP3, "op10_ngram_join": _OP10, "op13_filter_audit": _OP13}
+ORACLES: dict[str, str] = {"op2_decontaminate": _OP2, "op3_quality": _OP3, "op10_ngram_join": _OP10, "op11_centroids": _OP11, "op13_filter_audit": _OP13}
