@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, clustering, decontaminate, filter_audit, language, ngram_join, pii, quality, secrets, suffix_dedup, toxicity, urls
+from . import bpe, clustering, decontaminate, filter_audit, language, neural_lm, ngram_join, pii, quality, secrets, suffix_dedup, toxicity, urls
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -60,11 +60,15 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(_read(spark, sf_dir, "embeddings"))
 
 
+def op12_neural_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neural_lm.score(_read(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_decontaminate, op3_quality, op4_language, op5_toxicity, op6_pii, op7_suffix_dedup, op8_secrets, op9_url_filter, op10_ngram_join, op11_centroids, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_decontaminate, op3_quality, op4_language, op5_toxicity, op6_pii, op7_suffix_dedup, op8_secrets, op9_url_filter, op10_ngram_join, op11_centroids, op12_neural_lm, op13_filter_audit)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACED = r"[^\x20\x09-\x0D]+"
