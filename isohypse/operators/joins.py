@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.strings import fold_name
+from .parity import points_in_areas
 
 
 def assemble_ways(refs: DataFrame, nodes: DataFrame, *order: str) -> DataFrame:
@@ -46,27 +47,16 @@ def overlapping_pairs(boxes: DataFrame, cell: float) -> DataFrame:
     return met.where(home).select(F.col("id").alias("first"), F.col("o_id").alias("second"))
 
 
-def points_in_areas(points: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
-    """point columns with area_id of every area that holds the point (areas: area_id, rings)."""
-    box = geo.extent(F.get("rings", 0))
-    spread = areas.withColumn("_b", box).withColumn("_c", F.explode(_cells(F.col("_b.min_x"), F.col("_b.min_y"), F.col("_b.max_x"), F.col("_b.max_y"), cell)))
-    at = points.withColumn("_p", F.struct(F.floor(F.col("x") / cell).alias("i"), F.floor(F.col("y") / cell).alias("j")))
-    met = at.join(spread.select("area_id", "rings", "_b", "_c"), F.col("_p") == F.col("_c"))
-    met = met.where(F.col("x").between(F.col("_b.min_x"), F.col("_b.max_x")) & F.col("y").between(F.col("_b.min_y"), F.col("_b.max_y")))
-    inside = geo.point_in_ring(F.col("x"), F.col("y"), F.get("rings", 0)) & ~F.exists(F.slice("rings", 2, F.greatest(F.size("rings"), F.lit(1))), lambda r: geo.point_in_ring(F.col("x"), F.col("y"), r))
-    return met.where(inside).select(*points.columns, "area_id", "rings")
-
-
-def holes_to_shells(holes: DataFrame, shells: DataFrame, cell: float) -> DataFrame:
+def holes_to_shells(holes: DataFrame, shells: DataFrame, cell: float | None = None) -> DataFrame:
     """hole_id, shell_id: the smallest shell that holds a hole's first vertex; stray holes go."""
     points = holes.select("hole_id", F.get("ring", 0).x.alias("x"), F.get("ring", 0).y.alias("y"))
     areas = shells.select(F.col("shell_id").alias("area_id"), F.array("ring").alias("rings"))
-    met = points_in_areas(points, areas, cell).withColumn("_size", F.abs(geo.signed_double_area(F.get("rings", 0))))
-    best = F.row_number().over(Window.partitionBy("hole_id").orderBy("_size", "area_id"))
-    return met.withColumn("_k", best).where("_k = 1").select("hole_id", F.col("area_id").alias("shell_id"))
+    sizes = shells.select(F.col("shell_id").alias("area_id"), F.abs(geo.signed_double_area(F.col("ring"))).alias("_size"))
+    met = points_in_areas(points, areas, cell).join(sizes, "area_id")
+    return met.groupBy("hole_id").agg(F.min(F.struct("_size", "area_id")).alias("_best")).select("hole_id", F.col("_best.area_id").alias("shell_id"))
 
 
-def evidence_density(points: DataFrame, faces: DataFrame, cell: float, share: float = 0.1) -> DataFrame:
+def evidence_density(points: DataFrame, faces: DataFrame, cell: float | None = None, share: float = 0.1) -> DataFrame:
     """face_id, score, density, is_sea: summed weights in each face's first holder, by area.
 
     Faces with less than `share` of the densest face's density are sea, if there are two

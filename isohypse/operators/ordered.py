@@ -1,13 +1,14 @@
-"""Operators on ordered rows: runs, gaps, sessions, ranks, caps, labels."""
+"""Operators on ordered rows: runs, gaps, sessions, ranks, caps."""
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .thinning import thin_labels  # noqa: F401
+
 
 def runs(df: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
     """Adds `run`: a number that grows where the value changes along the order."""
@@ -96,46 +97,3 @@ def changed_settings(before: DataFrame, after: DataFrame) -> DataFrame:
     """key, was, now where they differ."""
     both = before.select("key", F.col("value").alias("was")).join(after.select("key", F.col("value").alias("now")), "key", "full_outer")
     return both.where(~F.col("was").eqNullSafe(F.col("now")))
-
-
-def thin_labels(labels: DataFrame, limits: DataFrame | None = None) -> DataFrame:
-    """Greedy labels: in rank order, those that overlap none taken before.
-
-    labels: sheet, layer, name, rank, x, y, width, height, angle (degrees).  A sheet's labels
-    are one group, since each depends on those before it; a grid keeps the tests local.
-    """
-
-    def corners(r) -> list[tuple[float, float]]:
-        a = math.radians(r.angle)
-        c, s = math.cos(a), math.sin(a)
-        return [(r.x + dx * c - dy * s, r.y + dx * s + dy * c) for dx, dy in ((-r.width / 2, -r.height / 2), (r.width / 2, -r.height / 2), (r.width / 2, r.height / 2), (-r.width / 2, r.height / 2))]
-
-    def overlap(p, q) -> bool:
-        for box in (p, q):
-            for k in (0, 1):
-                ax, ay = box[k + 1][0] - box[k][0], box[k + 1][1] - box[k][1]
-                a, b = [x * ax + y * ay for x, y in p], [x * ax + y * ay for x, y in q]
-                if max(a) < min(b) or max(b) < min(a):
-                    return False
-        return True
-
-    def thinned(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "name"], kind="stable")
-        grid: dict[tuple[int, int], list] = {}
-        taken, counts = [], {}
-        for r in pdf.itertuples():
-            if r.limit is not None and not pd.isna(r.limit) and counts.get(r.layer, 0) >= r.limit:
-                continue
-            box = corners(r)
-            xs, ys = [x for x, _ in box], [y for _, y in box]
-            cells = [(i, j) for i in range(int(min(xs) // 64), int(max(xs) // 64) + 1) for j in range(int(min(ys) // 64), int(max(ys) // 64) + 1)]
-            if any(overlap(box, other) for c in cells for other in grid.get(c, ())):
-                continue
-            for c in cells:
-                grid.setdefault(c, []).append(box)
-            counts[r.layer] = counts.get(r.layer, 0) + 1
-            taken.append(r.Index)
-        return pdf.loc[taken].drop(columns="limit")
-
-    with_limit = labels.join(F.broadcast(limits), "layer", "left") if limits is not None else labels.withColumn("limit", F.lit(None).cast("int"))
-    return with_limit.select(*labels.columns, "limit").groupBy("sheet").applyInPandas(thinned, labels.schema)

@@ -435,8 +435,10 @@ _INSIDE = "abs(p.lon-a.cx)/20+abs(p.lat-a.cy)/15 < 1-1e-9"
 @query("point_in_ring", f"SELECT area_id, count(*) AS n FROM v_points p JOIN {_AREAS_SQL} a ON {_INSIDE} WHERE abs(abs(p.lon-a.cx)/20+abs(p.lat-a.cy)/15-1) > 1e-9 GROUP BY area_id")
 def _(spark, d):
     p = V.points(spark, d).select("event_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    met = joins.points_in_areas(p, _areas(spark, d), 10.0)
-    edge = F.abs(F.abs(F.col("x") - (F.get(F.get("rings", 0), 0).x + 20.0)) / 20 + F.abs(F.col("y") - F.get(F.get("rings", 0), 0).y) / 15 - 1)
+    areas = _areas(spark, d)
+    left = areas.select("area_id", F.get(F.get("rings", 0), 0).alias("left"))
+    met = joins.points_in_areas(p, areas).join(left, "area_id")
+    edge = F.abs(F.abs(F.col("x") - (F.col("left.x") + 20.0)) / 20 + F.abs(F.col("y") - F.col("left.y")) / 15 - 1)
     return met.where(edge > 1e-9).groupBy("area_id").agg(F.count("*").alias("n"))
 
 
@@ -448,7 +450,7 @@ def _(spark, d):
 def _(spark, d):
     p = V.points(spark, d).select(F.col("event_id").alias("point_id"), F.col("lon").alias("x"), F.col("lat").alias("y"), (F.col("user_id") % 3 + 1).cast("double").alias("weight"))
     faces = _areas(spark, d).select(F.col("area_id").alias("face_id"), "rings")
-    return joins.evidence_density(p, faces, 10.0).select("face_id", "score", "is_sea")
+    return joins.evidence_density(p, faces).select("face_id", "score", "is_sea")
 
 
 @query(
@@ -462,7 +464,7 @@ def _(spark, d):
     key, size = F.col("id"), (F.col("id") % 4 + 1).cast("double")
     at = lambda sx, sy: F.struct((F.col("min_x") + size * sx + 0.003).alias("x"), (F.col("min_y") + size * sy + 0.003).alias("y"))
     shells = b.select(key.alias("shell_id"), F.array(at(-1, -1), at(1, -1), at(1, 1), at(-1, 1), at(-1, -1)).alias("ring"))
-    return joins.holes_to_shells(holes, shells, 2.0)
+    return joins.holes_to_shells(holes, shells)
 
 
 @query("label_mark_merge", "SELECT coalesce(m.key, l.key) AS key, mark_id, label FROM (SELECT printf('[%.6f,%.6f]', x, y) AS key, node_id AS mark_id FROM v_nodes) m FULL JOIN (SELECT printf('[%.6f,%.6f]', lon, lat) AS key, arg_max(layer, event_id) AS label FROM v_points GROUP BY 1) l ON m.key=l.key")
@@ -676,21 +678,25 @@ def _(spark, d):
     return raster.blend(raster.decimate(f, 2), f, (rows + 1) // 2, 32, rows, 64).select("row", "col", R("value").alias("value"), R("surveyed").alias("surveyed"))
 
 
-@query(
-    "region_areas",
-    f"""SELECT level, round(sum(CASE mask WHEN 15 THEN 1 WHEN 1 THEN ab*ad/2 WHEN 2 THEN (1-ab)*bc/2 WHEN 4 THEN (1-bc)*(1-dc)/2 WHEN 8 THEN (1-ad)*dc/2 WHEN 3 THEN (ad+bc)/2 WHEN 6 THEN (2-ab-dc)/2 WHEN 12 THEN (2-ad-bc)/2 WHEN 9 THEN (ab+dc)/2
+_REGIONS = f"""SELECT level, sum(CASE mask WHEN 15 THEN 1 WHEN 1 THEN ab*ad/2 WHEN 2 THEN (1-ab)*bc/2 WHEN 4 THEN (1-bc)*(1-dc)/2 WHEN 8 THEN (1-ad)*dc/2 WHEN 3 THEN (ad+bc)/2 WHEN 6 THEN (2-ab-dc)/2 WHEN 12 THEN (2-ad-bc)/2 WHEN 9 THEN (ab+dc)/2
     WHEN 14 THEN 1-ab*ad/2 WHEN 13 THEN 1-(1-ab)*bc/2 WHEN 11 THEN 1-(1-bc)*(1-dc)/2 WHEN 7 THEN 1-(1-ad)*dc/2 WHEN 5 THEN CASE WHEN a+b+c+d > 0 THEN 1-(1-ab)*bc/2-(1-ad)*dc/2 ELSE ab*ad/2+(1-bc)*(1-dc)/2 END
-    WHEN 10 THEN CASE WHEN a+b+c+d > 0 THEN 1-ab*ad/2-(1-bc)*(1-dc)/2 ELSE (1-ab)*bc/2+(1-ad)*dc/2 END ELSE 0 END),3) AS area FROM (SELECT *, a/nullif(a-b,0) AS ab, b/nullif(b-c,0) AS bc, d/nullif(d-c,0) AS dc, a/nullif(a-d,0) AS ad FROM {_MASKS}) GROUP BY level""",
-)
+    WHEN 10 THEN CASE WHEN a+b+c+d > 0 THEN 1-ab*ad/2-(1-bc)*(1-dc)/2 ELSE (1-ab)*bc/2+(1-ad)*dc/2 END ELSE 0 END) AS area FROM (SELECT *, a/nullif(a-b,0) AS ab, b/nullif(b-c,0) AS bc, d/nullif(d-c,0) AS dc, a/nullif(a-d,0) AS ad FROM {_MASKS}) GROUP BY level"""
+
+
+@query("region_areas", f"SELECT level, round(area,3) AS area FROM ({_REGIONS})")
 def _(spark, d):
     return raster.region_area(V.field(spark, d), LEVELS).select("level", F.round("area", 3).alias("area"))
 
 
 @query("elevation_bands")
 def elevation_bands(spark, d):
-    f = V.field(spark, d)
-    rows = f.agg(F.max("row")).first()[0] + 1
-    return bands.bands(f, LEVELS, rows, 64).select("band", "low", "high", "rings")
+    return bands.bands(V.field(spark, d), LEVELS).select("band", "low", "high", "rings")
+
+
+@query("band_areas", f"SELECT level AS low, lead(level) OVER (ORDER BY level) AS high, round(area-coalesce(lead(area) OVER (ORDER BY level),0),2) AS area FROM ({_REGIONS})")
+def _(spark, d):
+    made = bands.bands(V.field(spark, d), LEVELS).withColumn("area", geo.area(F.col("rings")))
+    return made.groupBy("low", "high").agg(F.round(F.sum("area"), 2).alias("area"))
 
 
 @query("shade_bands")
