@@ -181,12 +181,33 @@ class Folding:
         return F.aggregate(n, s, lambda s, _: F.when(F.element_at(s, -1) == -1, s).otherwise(self._step(*tables, s, lambda r, t: merged(s, r, t))))
 
     def fold(self, tables: tuple[Column, Column], chars: Column) -> Column:
-        """The ids of a short string of bytes: a step merges one occurrence, the first of the lowest rank."""
+        """The ids of a short string of bytes: a step merges one occurrence, the first of the lowest rank.
 
-        def one(s: Column, ranks: Column, t: Column) -> Column:
-            return _let(F.array_position(ranks, t).cast("int"), lambda p: F.concat(F.slice(s, 1, p - 1), F.array(t.cast("int")), F.slice(s, p + 2, F.size(s))))
+        The state holds the ids and the ranks of their pairs, of which a merge changes two; an
+        id of -1 at both ends makes pairs without a rank.
+        """
+        base, table = tables
+        limit, end = F.lit(1 << _SHIFT), F.array(F.lit(-1))
+
+        def rank(x: Column, y: Column) -> Column:
+            return F.get(table, F.get(base, x) + y).bitwiseXOR(F.shiftleft(x.cast("bigint"), _SHIFT))
+
+        def merged(s: Column, t: Column, p: Column) -> Column:
+            own = t.cast("int")
+            ids = F.concat(F.slice(s.ids, 1, p - 1), F.array(own), F.slice(s.ids, p + 2, F.size(s.ids)))
+            near = F.array(rank(F.get(s.ids, p - 2), own), rank(own, F.get(s.ids, p + 1)))
+            ranks = F.concat(F.slice(s.ranks, 1, p - 2), near, F.slice(s.ranks, p + 2, F.size(s.ranks)))
+            return F.struct(ids.alias("ids"), ranks.alias("ranks"))
+
+        def step(s: Column, _: Column) -> Column:
+            least = F.array_min(s.ranks)
+            return F.when(least < limit, _let(least, lambda t: _let(F.array_position(s.ranks, t).cast("int"), lambda p: merged(s, t, p)))).otherwise(s)
+
+        def steps(ids: Column) -> Column:
+            first = F.struct(ids.alias("ids"), F.zip_with(ids, F.slice(ids, 2, F.size(ids)), rank).alias("ranks"))
+            return F.aggregate(F.slice(ids, 3, F.size(ids)), first, step).ids
 
-        return F.array_remove(_let(self.byte_ids(chars), lambda ids: self._steps(tables, F.slice(ids, 2, F.size(ids)), ids, one)), -1)
+        return F.array_remove(_let(F.concat(end, self.byte_ids(chars), end), steps), -1)
 
     def fold_long(self, tables: tuple[Column, Column], chars: Column) -> Column:
         """The ids of any string of bytes: a step merges all occurrences of the lowest rank.
