@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import lists, map_batches
+from ._arrow import give_back, lists
 
 _OTHER = re.compile(r"[\W\d_]+")
 _BLOCK = 32_768  # bytes at most that are compressed at once
@@ -62,6 +62,9 @@ class Model:
                 self._made.append((lang, zstandard.ZstdCompressor(level=self.level, dict_data=fast, **kinds), zstandard.ZstdCompressor(level=19, dict_data=fine, **kinds)))
         return self._made
 
+    def close(self) -> None:
+        self._made = None
+
     def sizes(self, text: bytes) -> dict[str, float]:
         made = self._compressors()
         if len(text) >= 2000:
@@ -128,16 +131,31 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+_ROWS = 256  # texts that are Python objects at once
+
+
+def _predicted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of the batches with their texts' predictions; the compressors go with the task."""
+    try:
+        for batch in batches:
+            for a in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(a, _ROWS)
+                yield part, [model.predict(t) for t in lists(part, "text")[0]]
+    finally:
+        model.close()
+        give_back()
+
+
 def identify(docs: DataFrame, **limits) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score, sure."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs.where(~held_out()), **limits))
 
-    def rows(batch: pa.RecordBatch) -> dict:
-        ids, held, texts = lists(batch, "doc_id", "held_out", "text")
-        got = [model.value.predict(t) for t in texts]
-        return {"doc_id": ids, "held_out": held, "lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "sure": [g[2] for g in got]}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, got in _predicted(batches, model.value):
+            columns = [part.column(0), part.column(1), *(pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_())))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", "sure"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), "text"), rows, "doc_id bigint, held_out boolean, lang_pred string, score double, sure boolean")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double, sure boolean")
 
 
 def accepted(docs: DataFrame, **limits) -> DataFrame:
@@ -145,8 +163,7 @@ def accepted(docs: DataFrame, **limits) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs.where(~held_out()), **limits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [model.value.predict(t) for t in lists(batch, "text")[0]]
-            yield batch.filter(pa.array([lang != "und" and sure for lang, _, sure in got], pa.bool_()))
+        for part, got in _predicted(batches, model.value):
+            yield part.filter(pa.array([lang != "und" and sure for lang, _, sure in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
