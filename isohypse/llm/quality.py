@@ -149,23 +149,45 @@ def _joined(of: DataFrame, common: DataFrame) -> DataFrame:
     return out.select("doc_id", *names, "left_words")
 
 
-def without_boilerplate(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
-    """The texts with boilerplate lines removed (all columns kept): the operator's text output."""
+def without_boilerplate(docs: DataFrame, host: str = "source", max_sent: int = 500_000, **limits) -> DataFrame:
+    """The texts with boilerplate lines removed (all columns kept): the operator's text output.
+
+    Up to `max_sent` boilerplate lines are sent to all tasks once; beyond that each text is
+    joined to those of its own lines that go, never to all lines of its host.
+    """
     common = cut(boilerplate(docs, host, "text", **limits))
-    of, gone_lines = f"host_{uuid.uuid4().hex}", f"lines_{uuid.uuid4().hex}"  # names that no column of the input has
-    grouped = common.groupBy("host").agg(F.collect_set("line").alias(gone_lines)).withColumnRenamed("host", of)
-    joined = docs.join(grouped, docs[host].eqNullSafe(F.col(of)), "left")
-    kinds = joined.schema
+    kinds = docs.schema
+    if common.count() <= max_sent:
+        sent = docs.sparkSession.sparkContext.broadcast({(r.host, r.line) for r in common.collect()})
+        of = kinds.fieldNames().index(host)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [_left(t, lambda x, h=h: (h, x) in sent.value) for t, h in zip(*lists(batch, "text", kinds.fieldNames()[of]), strict=True)]
+                yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+
+        return docs.mapInArrow(run, kinds)
+    h, content, gone = (f"{k}_{uuid.uuid4().hex}" for k in ("host", "content", "gone"))  # names that no column of the input has
+    keyed = docs.withColumn(content, F.sha2(F.coalesce("text", F.lit("")), 256))
+
+    def own(batch: pa.RecordBatch) -> dict:
+        hosts, keys, texts = lists(batch, "host", "content", "text")
+        return {"host": hosts, "content": keys, "lines": [list(set(line_hashes(t)[0])) for t in texts]}
+
+    lines = map_batches(keyed.select(F.col(host).alias("host"), F.col(content).alias("content"), "text").dropDuplicates(["host", "content"]), own, "host string, content string, lines array<bigint>")
+    lines = lines.select(F.col("host").alias(h), F.col("content").alias("_key"), F.explode("lines").alias("_line"))
+    met = lines.join(common, F.col(h).eqNullSafe(F.col("host")) & (F.col("_line") == F.col("line"))).groupBy(h, "_key").agg(F.collect_list("line").alias(gone))
+    joined = keyed.join(met, docs[host].eqNullSafe(F.col(h)) & (F.col(content) == F.col("_key")), "left").select(*[keyed[c] for c in docs.columns], gone)
+    wide = joined.schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, sets = lists(batch, "text", gone_lines)
-            kept = []
-            for t, c in zip(texts, sets, strict=True):
-                gone = set(c or ())
-                kept.append(t if not gone or t is None else "\n".join(x for x in t.split("\n") if not any(h in gone for h in line_hashes(x)[0])))
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(kept, pa.string()))
+            texts = [_left(t, set(g or ()).__contains__) for t, g in zip(*lists(batch, "text", gone), strict=True)]
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
-    return joined.mapInArrow(run, kinds).drop(of, gone_lines)
+    return joined.mapInArrow(kept, wide).drop(gone)
 
 
+def _left(text: str | None, goes) -> str | None:
+    """A text without the lines whose hashes go; lines without words stay."""
+    return None if text is None else "\n".join(x for x in text.split("\n") if not any(map(goes, line_hashes(x)[0])))

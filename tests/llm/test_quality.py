@@ -48,6 +48,8 @@ def test_a_hosts_boilerplate_is_found_and_depletes(hosts):
     assert out[200].kept and not out[203].kept
     left = {r.doc_id: r.text for r in Q.without_boilerplate(hosts, min_docs=20, max_share=0.5).collect()}
     assert left[100] == "unique 0" and left[203] is None and "Footer" in left[200]
+    joined = Q.without_boilerplate(hosts, max_sent=-1, min_docs=20, max_share=0.5)
+    assert joined.columns == hosts.columns and {r.doc_id: r.text for r in joined.collect()} == left
 
 
 def test_copies_of_a_text_are_not_its_boilerplate(spark):
