@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +22,7 @@ from .vector import noded
 Polygon = list[Ring]
 _VERTEX = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 _PARTS = T.ArrayType(T.ArrayType(T.ArrayType(_VERTEX)))
+_ARROW = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
 
 
 def side(polygons: list[Polygon], x: float, y: float) -> int:
@@ -170,12 +171,15 @@ def _write(polygons: list[Polygon]) -> list:
     return [[[{"x": x, "y": y} for x, y in r] for r in p] for p in polygons]
 
 
+# Arrow values, not pandas: nested lists of different lengths have no array form there.
+
+
 def overlay_column(operation: str):
     """A function of two columns of parts (array of polygons) to the overlay's parts."""
 
-    @F.pandas_udf(_PARTS)
-    def of(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_write(overlay(_read(x), _read(y), operation)) for x, y in zip(a, b, strict=True)])
+    @F.arrow_udf(_PARTS)
+    def of(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([_write(overlay(_read(x), _read(y), operation)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], _ARROW)
 
     return of
 
@@ -184,21 +188,21 @@ def predicate_column(name: str):
     """covers, contains or intersects of two columns of parts."""
     test = {"covers": covers, "contains": contains, "intersects": intersects}[name]
 
-    @F.pandas_udf(T.BooleanType())
-    def of(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([test(_read(x), _read(y)) for x, y in zip(a, b, strict=True)])
+    @F.arrow_udf(T.BooleanType())
+    def of(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([test(_read(x), _read(y)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
 
     return of
 
 
-@F.pandas_udf(T.BooleanType())
-def valid_column(parts: pd.Series) -> pd.Series:
-    return pd.Series([is_valid(_read(p)) for p in parts])
+@F.arrow_udf(T.BooleanType())
+def valid_column(parts: pa.Array) -> pa.Array:
+    return pa.array([is_valid(_read(p)) for p in parts.to_pylist()], pa.bool_())
 
 
-@F.pandas_udf(_PARTS)
-def repaired_column(parts: pd.Series) -> pd.Series:
-    return pd.Series([_write(repaired(_read(p))) for p in parts])
+@F.arrow_udf(_PARTS)
+def repaired_column(parts: pa.Array) -> pa.Array:
+    return pa.array([_write(repaired(_read(p))) for p in parts.to_pylist()], _ARROW)
 
 
 def dissolve(features: DataFrame, keys: list[str], salt: int = 32) -> DataFrame:
@@ -206,12 +210,12 @@ def dissolve(features: DataFrame, keys: list[str], salt: int = 32) -> DataFrame:
     types = dict(features.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", parts array<array<array<struct<x:double,y:double>>>>"
 
-    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = union_all([_read(p) for p in pdf.parts])
-        return pd.DataFrame([(*[pdf[k].iloc[0] for k in keys], _write(whole))], columns=[*keys, "parts"])
+    def joined(table: pa.Table) -> pa.Table:
+        whole = union_all([_read(p) for p in table.column("parts").to_pylist()])
+        return pa.table([*(table.column(k).slice(0, 1) for k in keys), pa.array([_write(whole)], _ARROW)], names=[*keys, "parts"])
 
-    part = features.select(*keys, "parts").withColumn("_salt", F.pmod(F.xxhash64("parts"), F.lit(salt))).groupBy(*keys, "_salt").applyInPandas(joined, schema)
-    return part.groupBy(*keys).applyInPandas(joined, schema)
+    part = features.select(*keys, "parts").withColumn("_salt", F.pmod(F.xxhash64("parts"), F.lit(salt))).groupBy(*keys, "_salt").applyInArrow(joined, schema)
+    return part.groupBy(*keys).applyInArrow(joined, schema)
 
 
 def clearing(features: DataFrame, cover: DataFrame, cell: float) -> DataFrame:

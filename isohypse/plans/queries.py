@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, strings, tags
-from ..operators import bands, joins, orbits, ordered, raster, vector
+from ..operators import bands, joins, orbits, ordered, raster, shaping, vector
+from ..session import cut
 from ..sinks import geojson as sink
+from ..sources.model import GEOMETRY, with_extent
 from . import views as V
 from .dimensions import GROUP_ORDER, GROUPS, groups, label_limit, mark_symbol, symbol_parts
 
@@ -757,4 +759,43 @@ def _(spark, d):
     return ordered.thin_labels(labels)
 
 
+# ---- shapes ------------------------------------------------------------------------------
+
+_CLIP = geo.Box(-60.0, -30.0, 75.0, 40.0)
+
+
+def _shape(kind: str, parts: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), parts.alias("parts")).cast(GEOMETRY).alias("geom")
+
+
+@query(
+    "clip_ways",
+    """WITH s AS (SELECT way_id, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS by_ FROM v_refs JOIN v_nodes USING (node_id) WINDOW w AS (PARTITION BY way_id ORDER BY pos, node_id, tie)),
+    t AS (SELECT way_id, sqrt((bx-ax)*(bx-ax)+(by_-ay)*(by_-ay)) AS length, greatest(0, CASE WHEN bx<>ax THEN least((-60-ax)/(bx-ax),(75-ax)/(bx-ax)) WHEN ax BETWEEN -60 AND 75 THEN 0 ELSE 2 END, CASE WHEN by_<>ay THEN least((-30-ay)/(by_-ay),(40-ay)/(by_-ay)) WHEN ay BETWEEN -30 AND 40 THEN 0 ELSE 2 END) AS t0,
+    least(1, CASE WHEN bx<>ax THEN greatest((-60-ax)/(bx-ax),(75-ax)/(bx-ax)) ELSE 1 END, CASE WHEN by_<>ay THEN greatest((-30-ay)/(by_-ay),(40-ay)/(by_-ay)) ELSE 1 END) AS t1 FROM s WHERE bx IS NOT NULL)
+    SELECT way_id AS id, round(sum((t1-t0)*length),4) AS length FROM t WHERE t0 < t1 GROUP BY way_id""",
+)
+def _(spark, d):
+    ways = V.ways(spark, d).where(F.size("line") >= 2).select(F.col("way_id").alias("id"), _shape("LineString", F.array(F.array("line"))))
+    inside = shaping.clipped(cut(with_extent(ways)), _CLIP)
+    total = F.aggregate(F.transform("geom.parts", lambda p: geo.length(F.get(p, 0))), F.lit(0.0), lambda s, v: s + v)
+    return inside.select("id", F.round(total, 4).alias("length"))
+
+
+@query("clip_boxes", "SELECT id, round((least(max_x,75)-greatest(min_x,-60))*(least(max_y,40)-greatest(min_y,-30)),6) AS area FROM v_boxes WHERE max_x > -60 AND min_x < 75 AND max_y > -30 AND min_y < 40")
+def _(spark, d):
+    at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ring = F.array(at("min_x", "min_y"), at("max_x", "min_y"), at("max_x", "max_y"), at("min_x", "max_y"), at("min_x", "min_y"))
+    inside = shaping.clipped(V.boxes(spark, d).withColumn("geom", _shape("Polygon", F.array(F.array(ring)))), _CLIP)
+    return inside.select("id", F.round(geo.area(F.get("geom.parts", 0)), 6).alias("area")).where("area > 0")
+
+
+@query("buffer_lines", "SELECT place_id AS id, round(2*0.25*(place_id%9+1)/10 + 16*sin(2*pi()/32)*0.0625, 6) AS area FROM v_places")
+def _(spark, d):
+    start = F.struct("x", "y")
+    end = F.struct((F.col("x") + (F.col("place_id") % 9 + 1) / 10.0).alias("x"), "y")
+    lines = V.places(spark, d).select(F.col("place_id").alias("id"), _shape("LineString", F.array(F.array(F.array(start, end)))))
+    return shaping.buffered(lines, 0.25).select("id", F.round(geo.area(F.get("parts", 0)), 6).alias("area"))
+
+
 from . import frames, layers  # noqa: E402, F401  (they add their queries)

@@ -198,31 +198,41 @@ def running(deltas: list[int]) -> list[int]:
 # ---- OSM PBF -----------------------------------------------------------------------------
 
 
-def blobs(data: bytes) -> Iterator[bytes]:
-    """Inflated data blobs of a .pbf file; stops at a truncated one."""
+def blob_ranges(read: Callable[[int, int], bytes], size: int) -> Iterator[tuple[int, int]]:
+    """Place and length of the data blobs of a .pbf file, from their headers alone; stops at a truncated one."""
     at = 0
-    while at + 4 <= len(data):
-        size = struct.unpack(">I", data[at : at + 4])[0]
-        if size > 1 << 16:
+    while at + 4 <= size:
+        head = struct.unpack(">I", read(at, 4))[0]
+        if head > 1 << 16:
             raise ValueError("blob header too long")
         kind, length = b"", 0
-        for number, _, v in fields(data[at + 4 : at + 4 + size]):
+        for number, _, v in fields(read(at + 4, head)):
             kind, length = (v, length) if number == 1 else (kind, v) if number == 3 else (kind, length)
-        at += 4 + size
-        if at + length > len(data):
+        at += 4 + head
+        if at + length > size:
             return
         if kind == b"OSMData":
-            raw = None
-            for number, _, v in fields(data[at : at + length]):
-                raw = v if number == 1 else zlib.decompress(v) if number == 3 else raw
-            if raw is None:
-                raise ValueError("blob without data")
-            yield raw
+            yield at, length
         at += length
 
 
-def block_rows(block: bytes) -> Iterator[tuple]:
-    """(kind, id, lon, lat, refs, tags) of a primitive block's dense nodes and ways."""
+def inflated(blob: bytes) -> bytes:
+    raw = None
+    for number, _, v in fields(blob):
+        raw = v if number == 1 else zlib.decompress(v) if number == 3 else raw
+    if raw is None:
+        raise ValueError("blob without data")
+    return raw
+
+
+def blobs(data: bytes) -> Iterator[bytes]:
+    """Inflated data blobs of a .pbf file; stops at a truncated one."""
+    for at, length in blob_ranges(lambda p, n: data[p : p + n], len(data)):
+        yield inflated(data[at : at + length])
+
+
+def block_rows(block: bytes, kinds: frozenset[str] | set[str] = frozenset(("node", "way"))) -> Iterator[tuple]:
+    """(kind, id, lon, lat, refs, tags) of a primitive block's nodes and ways; other kinds aren't decoded."""
     strings, groups, granularity, lat0, lon0 = [], [], 100, 0, 0
     for number, _, v in fields(block):
         if number == 1:
@@ -235,10 +245,16 @@ def block_rows(block: bytes) -> Iterator[tuple]:
             lat0 = v
         elif number == 20:
             lon0 = v
+    degrees = lambda first, v: 1e-9 * (first + granularity * v)
+    named = lambda own: {strings[k]: strings[x] for k, x in zip(packed(own.get(2, b"")), packed(own.get(3, b"")), strict=False)}
     for group in groups:
         for number, _, v in fields(group):
-            own = {n: x for n, _, x in fields(v)} if number in (2, 3) else {}
-            if number == 2:
+            if number not in (1, 2, 3) or ("way" if number == 3 else "node") not in kinds:
+                continue
+            own = {n: x for n, _, x in fields(v)}
+            if number == 1:
+                yield "node", zigzag(own[1]), degrees(lon0, zigzag(own[9])), degrees(lat0, zigzag(own[8])), None, named(own)
+            elif number == 2:
                 ids, lats, lons = (running(packed(own.get(n, b""))) for n in (1, 8, 9))
                 pairs, tags = iter(packed(own.get(10, b""))), []
                 for _ in ids:
@@ -247,10 +263,9 @@ def block_rows(block: bytes) -> Iterator[tuple]:
                         t[strings[k]] = strings[next(pairs)]
                     tags.append(t)
                 for i, la, lo, t in zip(ids, lats, lons, tags, strict=True):
-                    yield "node", i, 1e-9 * (lon0 + granularity * lo), 1e-9 * (lat0 + granularity * la), None, t
-            elif number == 3:
-                keys, values = packed(own.get(2, b"")), packed(own.get(3, b""))
-                yield "way", own[1], None, None, running(packed(own.get(8, b""))), {strings[k]: strings[x] for k, x in zip(keys, values, strict=False)}
+                    yield "node", i, degrees(lon0, lo), degrees(lat0, la), None, t
+            else:
+                yield "way", own[1], None, None, running(packed(own.get(8, b""))), named(own)
 
 
 def read_pbf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -412,8 +427,12 @@ class PMTiles:
         raw = self.read(at, size)
         return directory(gzip.decompress(raw) if self.packed else raw)
 
+    def entries(self, at: int | None = None, size: int = 0) -> list[tuple[int, int, int, int]]:
+        """Entries of the root, or of the leaf at a place among the leaves."""
+        return self._directory(self.root, self.root_size) if at is None else self._directory(self.leaves + at, size)
+
     def tile(self, z: int, x: int, y: int) -> bytes | None:
-        wanted, entries = hilbert_id(z, x, y), self._directory(self.root, self.root_size)
+        wanted, entries = hilbert_id(z, x, y), self.entries()
         for _ in range(4):
             low, high = 0, len(entries)
             while low < high:
@@ -424,7 +443,7 @@ class PMTiles:
             tile, run, size, at = entries[low - 1]
             if run:
                 return self.read(self.data + at, size) if wanted < tile + run else None
-            entries = self._directory(self.leaves + at, size)
+            entries = self.entries(at, size)
         return None
 
 
@@ -469,49 +488,93 @@ def mbtiles(spark: SparkSession, path: str, z: int) -> DataFrame:
 _SAMPLES = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
 
 
+class Tiff:
+    """A raster of one band read through a function (offset, length) -> bytes, by its strips or tiles.
+
+    Blocks are uncompressed or deflated, with or without differences along a row.
+    """
+
+    def __init__(self, read: Callable[[int, int], bytes]) -> None:
+        self.read = read
+        head = read(0, 8)
+        order = {b"II": "<", b"MM": ">"}.get(head[:2])
+        if order is None or struct.unpack(order + "H", head[2:4])[0] != 42:
+            raise ValueError("no classic TIFF")
+        sizes = {1: "B", 2: "s", 3: "H", 4: "I", 12: "d"}
+        at = struct.unpack(order + "I", head[4:8])[0]
+        tags: dict[int, tuple] = {}
+        listed = read(at + 2, 12 * struct.unpack(order + "H", read(at, 2))[0])
+        for k in range(0, len(listed), 12):
+            tag, kind, count = struct.unpack(order + "HHI", listed[k : k + 8])
+            if kind in sizes:
+                form = order + (f"{count}s" if kind == 2 else f"{count}{sizes[kind]}")
+                size = struct.calcsize(form)
+                body = listed[k + 8 : k + 8 + size] if size <= 4 else read(struct.unpack(order + "I", listed[k + 8 : k + 12])[0], size)
+                tags[tag] = struct.unpack(form, body)
+        one = lambda t, d=None: tags.get(t, (d,))[0]
+        self.width, self.height, self.packing, self.predictor = one(256), one(257), one(259, 1), one(317, 1)
+        if self.packing not in (1, 8, 32946) or one(277, 1) != 1 or self.predictor not in (1, 2):
+            raise ValueError("only uncompressed and deflated files with one band are read")
+        self.kind = np.dtype(order + _SAMPLES[one(339, 1), one(258, 1)])
+        tiled = 322 in tags
+        self.block_width, self.block_height = (one(322), one(323)) if tiled else (self.width, one(278, self.height))
+        self.across = -(-self.width // self.block_width)
+        self.places = list(zip(tags[324 if tiled else 273], tags[325 if tiled else 279], strict=True))
+        self.missing = float(one(42113, b"nan").strip(b"\0 ") or b"nan") if 42113 in tags else float("nan")
+        if 34264 in tags:
+            m = tags[34264]
+            if m[1] or m[4]:
+                raise ValueError("rotated rasters aren't read")
+            self.west, self.north, self.dx, self.dy = m[3], m[7], m[0], -m[5]
+        else:
+            self.dx, self.dy = tags[33550][:2]
+            px, py, _, gx, gy = tags[33922][:5]
+            self.west, self.north = gx - px * self.dx, gy + py * self.dy
+
+    @property
+    def blocks(self) -> int:
+        return len(self.places)
+
+    @property
+    def box(self) -> tuple[float, float, float, float]:
+        return self.west, self.north - self.height * self.dy, self.west + self.width * self.dx, self.north
+
+    def lon(self, col: np.ndarray) -> np.ndarray:
+        """Of the cells' centres."""
+        return self.west + (col + 0.5) * self.dx
+
+    def lat(self, row: np.ndarray) -> np.ndarray:
+        return self.north - (row + 0.5) * self.dy
+
+    def extent(self, k: int) -> tuple[int, int, int, int]:
+        """First row and column, height and width of a block inside the raster."""
+        r, c = k // self.across * self.block_height, k % self.across * self.block_width
+        return r, c, min(self.block_height, self.height - r), min(self.block_width, self.width - c)
+
+    def block(self, k: int) -> np.ndarray:
+        """Values of a block, NaN where missing or out of range."""
+        _, _, height, width = self.extent(k)
+        at, size = self.places[k]
+        raw = self.read(at, size)
+        raw = raw if self.packing == 1 else zlib.decompress(raw)
+        own = np.frombuffer(raw, self.kind, len(raw) // self.kind.itemsize)
+        own = own[: len(own) // self.block_width * self.block_width].reshape(-1, self.block_width)
+        if self.predictor == 2:
+            own = np.cumsum(own, axis=1, dtype=self.kind)
+        out = np.full((height, width), np.nan)
+        out[: len(own)] = own[:height, :width]
+        out[~np.isfinite(out) | (np.abs(out - self.missing) < 1e-6) | (out < -12000) | (out > 9500)] = np.nan
+        return out
+
+
 def geotiff(data: bytes) -> tuple[np.ndarray, tuple[float, float, float, float]]:
-    """Values (NaN where missing) and (west, south, east, north) of an uncompressed single-band file."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
-        raise ValueError("no classic TIFF")
-    sizes = {1: "B", 2: "s", 3: "H", 4: "I", 12: "d"}
-    at = struct.unpack(order + "I", data[4:8])[0]
-    tags: dict[int, tuple] = {}
-    for k in range(struct.unpack(order + "H", data[at : at + 2])[0]):
-        entry = data[at + 2 + 12 * k : at + 14 + 12 * k]
-        tag, kind, count = struct.unpack(order + "HHI", entry[:8])
-        if kind in sizes:
-            form = order + (f"{count}s" if kind == 2 else f"{count}{sizes[kind]}")
-            size = struct.calcsize(form)
-            body = entry[8 : 8 + size] if size <= 4 else data[(p := struct.unpack(order + "I", entry[8:12])[0]) : p + size]
-            tags[tag] = struct.unpack(form, body)
-    one = lambda t, d=None: tags.get(t, (d,))[0]
-    width, height = one(256), one(257)
-    if one(259, 1) != 1 or one(277, 1) != 1:
-        raise ValueError("only uncompressed files with one band are read")
-    kind = np.dtype(order + _SAMPLES[one(339, 1), one(258, 1)])
-    out = np.full((height, width), np.nan)
-    tiled = 322 in tags
-    bw, bh = (one(322), one(323)) if tiled else (width, one(278, height))
-    across = -(-width // bw)
-    for k, (at, size) in enumerate(zip(tags[324 if tiled else 273], tags[325 if tiled else 279], strict=True)):
-        r, c = k // across * bh, k % across * bw
-        block = np.frombuffer(data, kind, size // kind.itemsize, at)
-        block = block[: len(block) // bw * bw].reshape(-1, bw)[: height - r, : width - c]
-        out[r : r + len(block), c : c + block.shape[1]] = block
-    missing = float(one(42113, b"nan").strip(b"\0 ") or b"nan") if 42113 in tags else float("nan")
-    bad = ~np.isfinite(out) | (np.abs(out - missing) < 1e-6) | (out < -12000) | (out > 9500)
-    out[bad] = np.nan
-    if 34264 in tags:
-        m = tags[34264]
-        if m[1] or m[4]:
-            raise ValueError("rotated rasters aren't read")
-        west, north, dx, dy = m[3], m[7], m[0], -m[5]
-    else:
-        dx, dy = tags[33550][:2]
-        px, py, _, gx, gy = tags[33922][:5]
-        west, north = gx - px * dx, gy + py * dy
-    return out, (west, north - height * dy, west + width * dx, north)
+    """Values (NaN where missing) and (west, south, east, north) of a single-band file."""
+    tiff = Tiff(lambda at, size: data[at : at + size])
+    out = np.full((tiff.height, tiff.width), np.nan)
+    for k in range(tiff.blocks):
+        r, c, height, width = tiff.extent(k)
+        out[r : r + height, c : c + width] = tiff.block(k)
+    return out, tiff.box
 
 
 def png_pixels(data: bytes) -> np.ndarray:

@@ -59,7 +59,7 @@ def from_objects(objects: DataFrame, source: str) -> DataFrame:
     return with_extent(rows)
 
 
-def read(spark: SparkSession, path: str, source: str = "file") -> DataFrame:
+def read(spark: SparkSession, path: str | list[str], source: str = "file") -> DataFrame:
     """Files with a FeatureCollection, a Feature, or anything with `features`."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
     many = F.from_json(F.get_json_object("value", "$.features"), "array<string>")
@@ -68,6 +68,9 @@ def read(spark: SparkSession, path: str, source: str = "file") -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str, source: str = "file") -> DataFrame:
-    """One object a line; lines that can't be read are skipped."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("json"))
+    """One object a line; lines that can't be read are skipped.
+
+    A feature without an id is named by its file and text, whatever the file's splits.
+    """
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.hex(F.xxhash64(F.input_file_name(), "value")).alias("pos"), F.col("value").alias("json"))
     return from_objects(lines.where(F.get_json_object("json", "$.type") == "Feature"), source)
