@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _hashing as H
-from ._arrow import lists
+from ._arrow import give_back, lists
 from ._packed import buckets, mapped, packed, tasks, unpacked
 from ._session import cut
 
@@ -120,6 +120,7 @@ def _sets(docs: DataFrame) -> DataFrame:
         none = [None] * len(own)
         if own:
             yield {"kind": [1] * len(own), "doc_id": none, "n": none, "class": none, "chunk": [k for k, _ in own], "block": [b for _, b in own]}
+        give_back()
 
     return mapped(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, _SETS)
 
@@ -178,6 +179,13 @@ def indexed(tokens: np.ndarray, levels: np.ndarray, frequent: int) -> tuple[np.n
     return np.r_[out[0], pairs], len(first), int(rank[end]) << 55 | int(tokens[end]) >> 9, int(rank[order[:p]].mean())
 
 
+def _few_texts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[str | None]:
+    """The texts, of which only so many are Python objects at once."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield from lists(batch.slice(a, rows), "text")[0]
+
+
 _FOUND = "kind int, key bigint, a bigint, b bigint, n bigint, last bigint, bits binary"
 _STAR, _LIST, _TWO, _CLASS = range(4)
 
@@ -206,25 +214,25 @@ def _postings(docs: DataFrame, levels, frequent: int) -> DataFrame:
             for x in (keys, classes, *columns):
                 x.clear()
 
-        for batch in it:
-            for t in lists(batch, "text")[0]:
-                tokens = shingles(t)
-                if not len(tokens) or (c := signature(tokens)) in seen:
-                    continue
-                seen.add(c)
-                own, rare, last, common = indexed(tokens, sent.value, frequent)
-                keys.append(own)
-                kinds = np.zeros(len(own), np.uint8)
-                kinds[:rare] = 1
-                for into, x in zip(columns, (np.full(len(own), c, np.int64), np.full(len(own), len(tokens), np.uint32), kinds, np.full(len(own), common, np.uint8)), strict=True):
-                    into.append(x)
-                classes.append((c, len(tokens), rare, last, bitmap(tokens)))
-                held += len(own)
-                if held > 1_000_000:
-                    yield from flush()
-                    held = 0
+        for t in _few_texts(it):
+            tokens = shingles(t)
+            if not len(tokens) or (c := signature(tokens)) in seen:
+                continue
+            seen.add(c)
+            own, rare, last, common = indexed(tokens, sent.value, frequent)
+            keys.append(own)
+            kinds = np.zeros(len(own), np.uint8)
+            kinds[:rare] = 1
+            for into, x in zip(columns, (np.full(len(own), c, np.int64), np.full(len(own), len(tokens), np.uint32), kinds, np.full(len(own), common, np.uint8)), strict=True):
+                into.append(x)
+            classes.append((c, len(tokens), rare, last, bitmap(tokens)))
+            held += len(own)
+            if held > 500_000:
+                yield from flush()
+                held = 0
         if keys:
             yield from flush()
+        give_back()
 
     def empty_but(size: int, **columns) -> dict:
         none = [None] * size
