@@ -57,9 +57,9 @@ def relief(span: Column) -> Column:
     return TERRAIN["relief"] * F.pow(wavelength(span) / TERRAIN["anchor"], F.lit(TERRAIN["exponent"]))
 
 
-def resolvable_octaves(span: Column) -> Column:
+def resolvable_octaves(span: Column, grid: int = TERRAIN["grid"]) -> Column:
     """Octaves whose features take eight cells of the grid or more; the first always counts."""
-    finest = F.greatest(F.lit(1e-9), TERRAIN["cells"] * span / (TERRAIN["grid"] - 1))
+    finest = F.greatest(F.lit(1e-9), TERRAIN["cells"] * span / (grid - 1))
     fits = sum((F.when(wavelength(span) / TERRAIN["lacunarity"] ** k >= finest, 1).otherwise(0) for k in range(1, TERRAIN["octaves"])), F.lit(1))
     return F.when(span > 0, fits).otherwise(TERRAIN["octaves"])
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, strings, tags
-from ..operators import bands, joins, orbits, ordered, raster, shaping, vector
+from ..operators import bands, joins, orbits, ordered, raster, shaping, terrain, vector
 from ..session import cut
 from ..sinks import geojson as sink
 from ..sources.model import GEOMETRY, with_extent
@@ -714,9 +714,21 @@ def _(spark, d):
     return s.select("level", "chain", "closed", F.size("points").alias("n"))
 
 
+@query("stitched_length_by_level", f"SELECT level, round(sum(sqrt((s.r1-s.r0)*(s.r1-s.r0)+(s.c1-s.c0)*(s.c1-s.c0))),3) AS length FROM {_segments_sql()} GROUP BY level")
+def _(spark, d):
+    chains = raster.with_length(raster.stitch(raster.contour_segments(V.field(spark, d), LEVELS)))
+    return chains.groupBy("level").agg(F.round(F.sum("length"), 3).alias("length"))
+
+
 @query("value_noise")
 def _(spark, d):
-    return raster.noise_grid(spark, 96, 96, 7)
+    return V.points(spark, d).select("event_id", terrain.noise_at(F.col("lon"), F.col("lat"), 7, 32.0).alias("value"))
+
+
+@query("synthetic_terrain")
+def _(spark, d):
+    sheets = V.places(spark, d).select(F.col("place_id").alias("frame_id"), F.col("x").alias("west"), F.col("y").alias("south"), (F.col("x") + F.col("place_id") % 5 / 10.0 + 0.1).alias("east"), (F.col("y") + 0.2).alias("north"))
+    return terrain.synthetic(sheets, 24)
 
 
 @query("streamlines")
