@@ -97,7 +97,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             counts[slots] = np.minimum(counts[slots].astype(np.int64) + n, 255)
             part.clear()
 
-        for batch in it:
+        for batch in _slices(it):
             ids, texts = lists(batch, "doc_id", "text")
             ns, classes = [], []
             for t in texts:
@@ -179,11 +179,11 @@ def indexed(tokens: np.ndarray, levels: np.ndarray, frequent: int) -> tuple[np.n
     return np.r_[out[0], pairs], len(first), int(rank[end]) << 55 | int(tokens[end]) >> 9, int(rank[order[:p]].mean())
 
 
-def _few_texts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[str | None]:
-    """The texts, of which only so many are Python objects at once."""
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few texts are Python objects at once."""
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
-            yield from lists(batch.slice(a, rows), "text")[0]
+            yield batch.slice(a, rows)
 
 
 _FOUND = "kind int, key bigint, a bigint, b bigint, n bigint, last bigint, bits binary"
@@ -214,7 +214,7 @@ def _postings(docs: DataFrame, levels, frequent: int) -> DataFrame:
             for x in (keys, classes, *columns):
                 x.clear()
 
-        for t in _few_texts(it):
+        for t in (t for part in _slices(it) for t in lists(part, "text")[0]):
             tokens = shingles(t)
             if not len(tokens) or (c := signature(tokens)) in seen:
                 continue
@@ -354,7 +354,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         seen, pack = set(), zstandard.ZstdCompressor(level=3)
-        for batch in it:
+        for batch in _slices(it):
             classes, blocks = [], []
             for t in lists(batch, "text")[0]:
                 tokens = shingles(t)
@@ -363,6 +363,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     classes.append(c)
                     blocks.append(pack.compress(t.encode()))
             yield {"class": classes, "block": blocks}
+        give_back()
 
     all_texts = mapped(docs.select("text"), run, "class bigint, block binary")
     return all_texts.join(wanted, "class", "left_semi").dropDuplicates(["class"])
