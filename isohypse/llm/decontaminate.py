@@ -8,7 +8,7 @@ The automaton's size is bounded: the items' total size is read first, and if it
 `block_bytes`, items are dealt into blocks, each with an automaton of its own and a scan
 of its own; the hits of the scans are then merged per row.
 
-Cases: a null or empty text has no words; an item without words has no windows; repeated
+Cases: a null or empty text has no words; a very long one is scanned whole, in one go; an item without words has no windows; repeated
 documents are judged alike, each row by itself; repeated items and items with the same
 window all count; an empty benchmark leaves all documents clean; columns that the
 operator doesn't name are not read.

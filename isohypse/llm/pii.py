@@ -12,8 +12,9 @@ The field's weights are learnt from the patterns' own spans in a bounded sample
 documents (`sample` rows, chosen by a hash of doc_id): unary weights by logistic
 regression, the chain's and skips' weights from how often linked tokens agree.
 
-Cases: a null text is empty; repeated rows are judged alike; an empty table gives an
-empty table; offsets are code points; columns that the operator doesn't name are not read.
+Cases: a null text is empty; a very long one is read whole; repeated rows are judged alike;
+spans go by kind, then by start; an empty table gives an empty table; offsets are code
+points; columns that the operator doesn't name are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ boilerplate.
 The lines' hashes are counted with partial sums before the shuffle.  Boilerplate lines
 are sent to all tasks while there are at most `max_sent`; beyond that they are joined.
 
-Cases: a null text has no words and fails the base rules; a null source is a host of its
+Cases: a null text has no words and fails the base rules; a very long one is read whole; a null source is a host of its
 own; repeated rows are judged alike; an empty table gives an empty table; columns that
 the operator doesn't name are not read.
 """

@@ -6,8 +6,9 @@ by partition refinement.  One pass over a text's bytes runs all rules at once an
 where a rule's match can end; the match itself is then delimited by the rule's own two
 small automata, backwards for the leftmost start and forwards for the longest end.
 
-Cases: a null text is empty; repeated rows are judged alike; an empty table gives an
-empty table; offsets are code points; columns that the operator doesn't name are not read.
+Cases: a null text is empty; a very long one is scanned whole, in time linear in its length;
+repeated rows are judged alike; spans that begin together go by kind; an empty table gives
+an empty table; offsets are code points; columns that the operator doesn't name are not read.
 """
 
 from __future__ import annotations

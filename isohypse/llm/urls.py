@@ -15,7 +15,8 @@ are joined by (host, template), not sent whole.
 
 Cases: a url that is null or has no "://" has an empty host and path and no template of
 its own host's; its verdict is that of the empty host's templates (allow, unless rules
-blocked such urls, which they can't); repeated rows are judged alike; an empty table gives
+blocked such urls, which they can't); very long urls are read whole; of rules of one length
+the last wins; repeated rows are judged alike; an empty table gives
 an empty table; columns that the operator doesn't name are not read.
 """
 
