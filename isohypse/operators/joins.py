@@ -48,10 +48,13 @@ def overlapping_pairs(boxes: DataFrame, cell: float) -> DataFrame:
 
 
 def holes_to_shells(holes: DataFrame, shells: DataFrame, cell: float | None = None) -> DataFrame:
-    """hole_id, shell_id: the smallest shell that holds a hole's first vertex; stray holes go."""
+    """hole_id, shell_id: the smallest shell that holds a hole's first vertex, of equal ones that of the smallest id; stray holes go.
+
+    Sizes are compared as floats, as areas of equal shells differ in their last digits.
+    """
     points = holes.select("hole_id", F.get("ring", 0).x.alias("x"), F.get("ring", 0).y.alias("y"))
     areas = shells.select(F.col("shell_id").alias("area_id"), F.array("ring").alias("rings"))
-    sizes = shells.select(F.col("shell_id").alias("area_id"), F.abs(geo.signed_double_area(F.col("ring"))).alias("_size"))
+    sizes = shells.select(F.col("shell_id").alias("area_id"), F.abs(geo.signed_double_area(F.col("ring"))).cast("float").alias("_size"))
     met = points_in_areas(points, areas, cell).join(sizes, "area_id")
     return met.groupBy("hole_id").agg(F.min(F.struct("_size", "area_id")).alias("_best")).select("hole_id", F.col("_best.area_id").alias("shell_id"))
 
