@@ -1,8 +1,8 @@
 """Clipping, projecting and buffering of features.
 
 Clipping keeps what lies inside untouched and drops what lies outside, both by boxes alone;
-only what crosses the border is cut: points by comparison, lines by segments (a row each,
-cut by their parameters and chained again), polygons by an overlay with the box.  Projecting
+only what crosses the border is cut: points and upright rectangles by comparison, lines by
+their segments' parameters, other polygons by an overlay with the box.  Projecting
 is one expression a feature.  A buffer is the union of one piece a vertex or edge.
 """
 
@@ -45,11 +45,16 @@ def _cut_lines(lines: DataFrame, box: Box) -> DataFrame:
     return runs.groupBy("id").agg(F.expr("transform(array_sort(collect_list(named_struct('part', part, 'run', run, 'line', line))), v -> v.line) AS parts"))
 
 
+def _upright(parts: str) -> str:
+    """Whether parts are one rectangle with upright sides, as SQL."""
+    turn = lambda u, v: f"get(r, 0).{u} = get(r, 1).{u} AND get(r, 1).{v} = get(r, 2).{v} AND get(r, 2).{u} = get(r, 3).{u} AND get(r, 3).{v} = get(r, 0).{v}"
+    return f"size({parts}) = 1 AND exists({parts}, part -> size(part) = 1 AND exists(part, r -> size(r) = 5 AND get(r, 0) = get(r, 4) AND ({turn('x', 'y')} OR {turn('y', 'x')})))"
+
+
 def clipped(features: DataFrame, box: Box) -> DataFrame:
     """Features inside the box, with `cut`: whether the box took something off them.
 
-    features: id, geom (kind, parts), min_x, min_y, max_x, max_y and any others; ids are
-    unique.  Touching a side only leaves nothing of a line or polygon, but keeps a point.
+    features: id, geom (kind, parts), min_x, min_y, max_x, max_y and any others.  Touching a side only leaves nothing of a line or polygon, but keeps a point.
     Read the features from a table or a checkpoint: each kind is a scan of its own.
     """
     w, s, e, n = (float(v) for v in (box.min_lon, box.min_lat, box.max_lon, box.max_lat))
@@ -62,9 +67,14 @@ def clipped(features: DataFrame, box: Box) -> DataFrame:
     lines = crossing.where("geom.kind LIKE '%ine%'")
     lines = lines.join(_cut_lines(lines, box).withColumnRenamed("id", "_of"), F.col("id") == F.col("_of")).drop("_of")
     frame = F.expr(f"array(array(array({', '.join(f'named_struct({chr(39)}x{chr(39)}, {x!r}d, {chr(39)}y{chr(39)}, {y!r}d)' for x, y in ((w, s), (e, s), (e, n), (w, n), (w, s)))})))")
-    areas = crossing.where("geom.kind LIKE '%olygon'").withColumn("parts", overlay_column("intersection")(F.col("geom.parts").cast(_PARTS), frame))
+    areas = crossing.where("geom.kind LIKE '%olygon'").withColumn("_upright", F.coalesce(F.expr(_upright("geom.parts")), F.lit(False)))
+    # a stretch of any width stays of a rectangle, where an overlay's new vertices may fall together
+    inner = (F.least("max_x", F.lit(e)) > F.greatest("min_x", F.lit(w))) & (F.least("max_y", F.lit(n)) > F.greatest("min_y", F.lit(s)))
+    into = lambda v, low, high: F.least(F.greatest(v, F.lit(low)), F.lit(high))
+    boxes = areas.where(F.col("_upright") & inner).withColumn("parts", F.transform("geom.parts", lambda part: F.transform(part, lambda r: F.transform(r, lambda p: F.struct(into(p.x, w, e).alias("x"), into(p.y, s, n).alias("y"))))))
+    areas = areas.where("NOT _upright").withColumn("parts", overlay_column("intersection")(F.col("geom.parts").cast(_PARTS), frame))
     out = whole
-    for part in (points, lines, areas):
+    for part in (points, lines, boxes, areas):
         cut = part.where("size(parts) > 0").select(*others, F.expr(_named("geom.kind", "parts")).alias("geom"), F.lit(True).alias("cut"))
         out = out.unionByName(cut)
     return with_extent(out)
