@@ -37,11 +37,14 @@ def _cells(min_x: Column, min_y: Column, max_x: Column, max_y: Column, size: flo
 def overlapping_pairs(boxes: DataFrame, cell: float) -> DataFrame:
     """first, second: pairs of intersecting boxes, first < second; an equi-join on grid cells.
 
-    Each pair is found once: in the cell of its common box's lower corner.
+    Each pair is found once: in the cell of its common box's lower corner.  The boxes of the
+    cells are few bytes and their pairs many, so the cells are dealt to all shuffle partitions
+    here, where sizes would put them into a few.
     """
+    parts = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = boxes.withColumn("c", F.explode(_cells(F.col("min_x"), F.col("min_y"), F.col("max_x"), F.col("max_y"), cell)))
     other = spread.select(F.col("c").alias("c2"), *[F.col(k).alias(f"o_{k}") for k in ("id", "min_x", "min_y", "max_x", "max_y")])
-    met = spread.join(other, (F.col("c") == F.col("c2")) & (F.col("id") < F.col("o_id")))
+    met = spread.repartition(parts, "c").join(other.repartition(parts, "c2"), (F.col("c") == F.col("c2")) & (F.col("id") < F.col("o_id")))
     met = met.where((F.col("max_x") >= F.col("o_min_x")) & (F.col("min_x") <= F.col("o_max_x")) & (F.col("max_y") >= F.col("o_min_y")) & (F.col("min_y") <= F.col("o_max_y")))
     home = (F.floor(F.greatest("min_x", "o_min_x") / cell) == F.col("c.i")) & (F.floor(F.greatest("min_y", "o_min_y") / cell) == F.col("c.j"))
     return met.where(home).select(F.col("id").alias("first"), F.col("o_id").alias("second"))
