@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,21 +30,43 @@ def _named(kind: str, parts: str) -> str:
     return f"cast(named_struct('kind', CASE WHEN size({parts}) = 1 THEN {single} ELSE concat('Multi', {single}) END, 'parts', {parts}) AS {GEOMETRY})"
 
 
-def _cut_lines(lines: DataFrame, box: Box) -> DataFrame:
-    """id, parts: the stretches of lines inside the box, in their order."""
-    edge = lines.selectExpr("id", "posexplode(geom.parts) AS (part, rings)").selectExpr("id", "part", "rings[0] AS l")
-    edge = edge.selectExpr("id", "part", "posexplode(zip_with(slice(l, 1, size(l) - 1), slice(l, 2, size(l)), (a, b) -> named_struct('a', a, 'b', b))) AS (pos, e)")
-    edge = edge.selectExpr("id", "part", "pos", "e.a", "e.b", "e.b.x - e.a.x AS dx", "e.b.y - e.a.y AS dy")
-    at = lambda axis, low, high, pick, none: f"CASE WHEN d{axis} <> 0 THEN {pick}(({low!r}d - a.{axis}) / d{axis}, ({high!r}d - a.{axis}) / d{axis}) WHEN a.{axis} BETWEEN {low!r}d AND {high!r}d THEN {none} ELSE NULL END"
-    x, y = (float(box.min_lon), float(box.max_lon)), (float(box.min_lat), float(box.max_lat))
-    edge = edge.selectExpr("*", f"{at('x', *x, 'least', '0d')} AS x0", f"{at('x', *x, 'greatest', '1d')} AS x1", f"{at('y', *y, 'least', '0d')} AS y0", f"{at('y', *y, 'greatest', '1d')} AS y1")
-    edge = edge.where("x0 IS NOT NULL AND y0 IS NOT NULL").selectExpr("*", "greatest(0d, x0, y0) AS t0", "least(1d, x1, y1) AS t1").where("t0 < t1")
-    w = "OVER (PARTITION BY id, part ORDER BY pos)"
-    edge = edge.selectExpr("*", f"CASE WHEN lag(pos) {w} = pos - 1 AND lag(t1) {w} = 1 AND t0 = 0 THEN 0 ELSE 1 END AS fresh").selectExpr("*", f"sum(fresh) {w} AS run")
-    point = lambda t: f"named_struct('x', CASE {t} WHEN 0 THEN a.x WHEN 1 THEN b.x ELSE a.x + dx * {t} END, 'y', CASE {t} WHEN 0 THEN a.y WHEN 1 THEN b.y ELSE a.y + dy * {t} END)"
-    runs = edge.selectExpr("id", "part", "run", "pos", f"{point('t0')} AS p", f"{point('t1')} AS q").groupBy("id", "part", "run").agg(F.expr("array_sort(collect_list(named_struct('pos', pos, 'p', p, 'q', q))) AS s"))
-    runs = runs.selectExpr("id", "part", "run", "array(concat(array(s[0].p), transform(s, v -> v.q))) AS line")
-    return runs.groupBy("id").agg(F.expr("transform(array_sort(collect_list(named_struct('part', part, 'run', run, 'line', line))), v -> v.line) AS parts"))
+def _cut_lines(box: Box):
+    """A function of a column of parts to the stretches of their lines inside the box, in their order."""
+    limits = ((float(box.min_lon), float(box.max_lon)), (float(box.min_lat), float(box.max_lat)))
+
+    @F.arrow_udf(_PARTS)
+    def of(parts: pa.Array) -> pa.Array:
+        rings = parts.values
+        places = rings.values
+        part_of, ring_of, point_of = (a.offsets.to_numpy() for a in (parts, rings, places))
+        xy = [v.to_numpy(zero_copy_only=False) for v in places.values.flatten()]
+        # a line is a part's first ring
+        own = np.arange(part_of[0], part_of[-1])
+        own = own[ring_of[own + 1] > ring_of[own]]
+        feature = np.searchsorted(part_of, own, side="right") - 1
+        first, n = point_of[ring_of[own]], np.maximum(point_of[ring_of[own] + 1] - point_of[ring_of[own]] - 1, 0)
+        line = np.repeat(np.arange(len(own)), n)
+        pos = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
+        at = first[line] + pos
+        t0, t1 = np.zeros(len(at)), np.ones(len(at))
+        with np.errstate(all="ignore"):
+            for v, (low, high) in zip(xy, limits, strict=True):
+                a, d = v[at], v[at + 1] - v[at]
+                one, two = (low - a) / d, (high - a) / d
+                t0 = np.maximum(t0, np.where(d != 0, np.minimum(one, two), np.where((a >= low) & (a <= high), 0.0, np.nan)))
+                t1 = np.minimum(t1, np.where(d != 0, np.maximum(one, two), 1.0))
+            kept = np.flatnonzero(t0 < t1)
+        line, pos, at, t0, t1 = line[kept], pos[kept], at[kept], t0[kept], t1[kept]
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = ~((line[1:] == line[:-1]) & (pos[1:] == pos[:-1] + 1) & (t1[:-1] == 1) & (t0[1:] == 0))
+        start = np.flatnonzero(fresh)
+        where = lambda v, t: np.where(t == 0, v[at], np.where(t == 1, v[at + 1], v[at] + (v[at + 1] - v[at]) * t))
+        points = pa.StructArray.from_arrays([pa.array(np.insert(where(v, t1), start, where(v, t0)[start])) for v in xy], ["x", "y"])
+        lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), values)
+        runs = lists(np.r_[start[1:], len(at)][: len(start)] + np.arange(1, len(start) + 1), points)
+        return lists(np.cumsum(np.bincount(feature[line[start]], minlength=len(parts))), lists(np.arange(1, len(start) + 1), runs))
+
+    return of.asNondeterministic()  # else a filter on its result computes it again
 
 
 def _upright(parts: str) -> str:
@@ -64,8 +88,7 @@ def clipped(features: DataFrame, box: Box) -> DataFrame:
     whole = met.where(within).select(*others, "geom").withColumn("cut", F.lit(False))
     crossing = met.where(~within)
     points = crossing.where("geom.kind LIKE '%oint'").withColumn("parts", F.filter("geom.parts", lambda p: F.get(F.get(p, 0), 0).x.between(w, e) & F.get(F.get(p, 0), 0).y.between(s, n)))
-    lines = crossing.where("geom.kind LIKE '%ine%'")
-    lines = lines.join(_cut_lines(lines, box).withColumnRenamed("id", "_of"), F.col("id") == F.col("_of")).drop("_of")
+    lines = crossing.where("geom.kind LIKE '%ine%'").withColumn("parts", _cut_lines(box)(F.col("geom.parts").cast(_PARTS)))
     frame = F.expr(f"array(array(array({', '.join(f'named_struct({chr(39)}x{chr(39)}, {x!r}d, {chr(39)}y{chr(39)}, {y!r}d)' for x, y in ((w, s), (e, s), (e, n), (w, n), (w, s)))})))")
     areas = crossing.where("geom.kind LIKE '%olygon'").withColumn("_upright", F.coalesce(F.expr(_upright("geom.parts")), F.lit(False)))
     # a stretch of any width stays of a rectangle, where an overlay's new vertices may fall together
