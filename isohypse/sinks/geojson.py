@@ -19,12 +19,17 @@ def _positions(line: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(line, _position), ","), F.lit("]"))
 
 
+def _written(geom: Column) -> Column:
+    """The parts without a vertex that isn't finite."""
+    return F.filter(geom.parts, lambda part: ~F.exists(F.flatten(part), lambda p: ~(finite(p.x) & finite(p.y))) & (F.size(F.get(part, 0)) > 0))
+
+
 def geometry_json(geom: Column) -> Column:
     """The geometry's GeoJSON or null: shells run counter-clockwise, holes clockwise.
 
     Parts with a vertex that isn't finite are dropped; a part without siblings loses its Multi.
     """
-    ok = F.filter(geom.parts, lambda part: ~F.exists(F.flatten(part), lambda p: ~(finite(p.x) & finite(p.y))) & (F.size(F.get(part, 0)) > 0))
+    ok = _written(geom)
     base = F.replace(geom.kind, F.lit("Multi"), F.lit(""))
     ring = lambda r, i: _positions(F.when(i == 0, oriented(r, True)).otherwise(oriented(r, False)))
     rings = lambda part: F.concat(F.lit("["), F.array_join(F.transform(part, ring), ","), F.lit("]"))
@@ -35,10 +40,14 @@ def geometry_json(geom: Column) -> Column:
 
 
 def feature_rows(features: DataFrame) -> DataFrame:
-    """layer, id, json: a Feature each; features whose geometry can't be written go."""
+    """layer, id, json: a Feature each; features whose geometry can't be written go.
+
+    That is asked of the parts, as a filter on the text would make the text twice.
+    """
+    writable = F.col("geom.kind").isNotNull() & (F.coalesce(F.size(_written(F.col("geom"))), F.lit(0)) > 0)
     geometry = geometry_json(F.col("geom"))
     text = F.concat(F.lit('{"type":"Feature","id":'), F.to_json(F.struct(F.col("id").alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("id").alias("v")))) - 6), F.lit(',"geometry":'), geometry, F.lit(',"properties":'), F.coalesce(F.to_json("props"), F.lit("{}")), F.lit("}"))
-    return features.where(geometry.isNotNull()).select("layer", "id", text.alias("json"))
+    return features.where(writable).select("layer", "id", text.alias("json"))
 
 
 def write_layers(features: DataFrame, path: str) -> None:
