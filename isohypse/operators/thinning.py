@@ -6,7 +6,8 @@ out (it overlaps a taken one), open (it overlaps an earlier one that may yet be
 clear.  A label that lies in one tile and is clear is taken at once and counts for the
 labels after it; one on a border is taken if it is clear in each of its tiles, and is shown
 to them in the next round.  Labels that overlap share a tile, so no overlap is missed, and
-the first open label of all is clear everywhere, so each round decides some.  Chains of
+the first label of all is decided everywhere, so each round decides some.  A tile keeps a
+bounded number of open labels in each place; what comes after them waits for the next round.  Chains of
 overlaps end inside a tile mostly, so a few rounds are enough.
 
 A tile with more than `most` labels is thinned before, in rounds that need no group: a
@@ -30,6 +31,8 @@ from ..session import cut
 
 _ORDER = ("rank", "name", "x", "y", "layer", "_id")
 _CELL = 64.0
+#: A cell with so many open labels leaves all after them open that aren't out; the next round decides.
+_OPEN = 256
 
 
 def _half(across: bool) -> Column:
@@ -78,21 +81,26 @@ def _judged(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["_taken", *_ORDER], ascending=[False] + [True] * len(_ORDER), kind="stable", na_position="last")
     a = np.radians(pdf.angle.to_numpy(float))
     boxes = list(zip(*(pdf[k].tolist() for k in ("x", "y", "width", "height")), np.cos(a).tolist(), np.sin(a).tolist(), strict=True))
-    grid: dict[tuple[int, int], list[tuple]] = {}
+    sure: dict[tuple[int, int], list[tuple]] = {}
+    maybe: dict[tuple[int, int], list[tuple]] = {}
     verdicts = []
     for box, taken, allowed, full, alone in zip(boxes, *(pdf[k].tolist() for k in ("_taken", "_allowed", "_full", "_alone")), strict=True):
         x, y, w, h, c, s = box
         hx, hy = (w * abs(c) + h * abs(s)) / 2, (w * abs(s) + h * abs(c)) / 2
         cells = [(i, j) for i in range(math.floor((x - hx) / _CELL), math.floor((x + hx) / _CELL) + 1) for j in range(math.floor((y - hy) / _CELL), math.floor((y + hy) / _CELL) + 1)]
+        near = lambda grid: any(abs(other[0] - x) <= ox + hx and abs(other[1] - y) <= oy + hy and overlap(box, other) for cell in cells for other, ox, oy in grid.get(cell, ()))  # noqa: B023, E731
         verdict = 1
         if not taken:
-            near = [(other, sure) for cell in cells for other, ox, oy, sure in grid.get(cell, ()) if abs(other[0] - x) <= ox + hx and abs(other[1] - y) <= oy + hy]
-            met = [sure for other, sure in near if overlap(box, other)]
-            verdict = -1 if full or any(met) else 0 if met or not allowed else 1
+            if full or near(sure):
+                verdict = -1
+            elif not allowed or any(len(maybe.get(cell, ())) >= _OPEN for cell in cells) or near(maybe):
+                verdict = 0
         verdicts.append(verdict)
         if verdict >= 0:
+            grid = sure if taken or verdict == 1 and alone else maybe
             for cell in cells:
-                grid.setdefault(cell, []).append((box, hx, hy, taken or verdict == 1 and alone))
+                if grid is sure or len(grid.get(cell, ())) < _OPEN:
+                    grid.setdefault(cell, []).append((box, hx, hy))
     return pd.DataFrame({"_id": pdf._id.to_numpy(), "_verdict": verdicts})[~pdf._taken.to_numpy(bool)]
 
 
