@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """Applies fn, from a batch to a dict of columns, to every batch of df."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, sliced: bool = False) -> DataFrame:
+    """Applies fn, from a batch (or a slice of it) to a dict of columns, to all rows of df."""
     out = T.StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -24,7 +24,20 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
                 got = fn(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(lambda batches: run(slices(batches) if sliced else batches), out)
+
+
+_ROWS = 250  # rows that are Python objects at once
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = _ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows at most; gives the task's memory back after the last."""
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+    finally:
+        give_back()
 
 
 def lists(batch: pa.RecordBatch, *names: str) -> list[list]:

@@ -20,8 +20,9 @@ The rank table is a row-displacement table: the entry of the pair (x, y) stands
 ``base[x] + y`` and holds x with the rank, so that a lookup is two array reads.
 
 A task's list of words starts anew after a number of words (an epoch), so that its memory is
-bounded.  Both steps see the rows of a task in one order, so that a word's number in its
-epoch names it; a task that runs again numbers its words again.
+bounded; words met again in an epoch go on in the next one and are not folded again.  Both
+steps see the rows of a task in one order, so that a word's number in its epoch names it; a
+task that runs again numbers its words again.
 
 Cases: null text is the empty text (no tokens; the hash of the empty string); repeated rows
 give repeated results, and there are no ties, as each row is coded by itself; an empty table
@@ -36,11 +37,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
+from array import array
 from collections.abc import Iterator
 from contextlib import suppress
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._arrow import slices
+
+
 @dataclass(frozen=True)
 class Merges:
     """Ranks of a vocabulary: byte ids, canonical pairs and the tokens no merge reaches."""
@@ -145,7 +151,6 @@ def _let(value: Column, then) -> Column:
 
 _HELD = 19  # bits of a hash: the map of texts inside tokens
 _LONG = 48  # bytes from which on a piece is cut before it is folded
-_SLICE = 500  # rows that are Python objects at once
 
 
 class Folding:
@@ -249,34 +254,80 @@ class Folding:
         return _let(self.base, lambda base: _let(self.table, lambda table: each((base, table))))
 
 
+class _Known(dict):
+    """Codes of pieces; a piece without one gets the next, and is listed as new."""
+
+    def __init__(self, whole: dict[str, int], first: int, words: list[str]) -> None:
+        super().__init__(whole)
+        self.shift, self.new = first - len(whole), []
+        for w in words:
+            self[w] = self.shift + len(self)
+
+    def __missing__(self, piece: str) -> int:
+        code = self[piece] = self.shift + len(self)
+        self.new.append(piece)
+        return code
+
+
+@lru_cache(maxsize=4)
+def _latin(pattern: str):
+    """findall by the faster engine, for texts in Latin-1; None for patterns with escapes or flags beyond these."""
+    if re.search(r"\\(?!p\{[LN]\}|[sS])|\(\?[^!=:]|\[[^\]]*(\[|\\S|&&|--|\|\||~~)", pattern):
+        return None
+    every = "".join(map(chr, range(256)))
+    spans = lambda kind: "".join(f"\\x{ord(m[0][0]):02x}-\\x{ord(m[0][-1]):02x}" for m in regex.finditer(kind + "+", every))
+    out, inside = [], False
+    for part in re.split(r"(\\p\{[LN]\}|\\[sS]|[\[\]])", pattern):
+        inside = part == "[" or inside and part != "]"
+        if part == "\\S":
+            part = "[^" + spans(r"\s") + "]"
+        elif part.startswith("\\"):
+            part = spans(part) if inside else "[" + spans(part) + "]"
+        out.append(part)
+    return re.compile("".join(out)).findall
+
+
+def _finder(pattern: str):
+    """The pattern's pieces of a text."""
+    general, latin = regex.compile(pattern).findall, _latin(pattern)
+
+    def find(text: str) -> list[str]:
+        if latin:
+            with suppress(UnicodeEncodeError):
+                text.encode("latin-1")
+                return latin(text)
+        return general(text)
+
+    return find
+
+
 def _cut(pattern: str, ranks, epoch_words: int):
     """Rows with their pieces' codes: a token's id, or from the number of tokens on a word's number in its epoch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, whole, first = regex.compile(pattern).findall, ranks.value[0], len(ranks.value[1])
-        known, epoch = dict(whole), 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(at, _SLICE)
-                epochs, codes, fresh = [], [], []
-                for text in part.column(1).to_pylist():
-                    if len(known) - len(whole) >= epoch_words:
-                        known, epoch = dict(whole), epoch + 1
-                    pieces, new = find(text or ""), []
-                    own = list(map(known.get, pieces))
-                    if None in own:
-                        for k, code in enumerate(own):
-                            if code is None:
-                                piece = pieces[k]
-                                if piece not in known:
-                                    known[piece] = first + len(known) - len(whole)
-                                    new.append(piece)
-                                own[k] = known[piece]
-                    epochs.append(epoch)
-                    codes.append(np.array(own, np.int32).tobytes())
-                    fresh.append(new)
-                columns = [part.column(0), pa.array(epochs, pa.int32()), pa.array(codes, pa.binary()), pa.array(fresh, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["kept", "epoch", "codes", "words"])
+        find, whole, first = _finder(pattern), ranks.value[0], len(ranks.value[1])
+        known, met = _Known(whole, first, []), np.zeros(0, np.int64)
+        for part in slices(batches):
+            stays = None
+            if len(known) - len(whole) >= epoch_words:
+                # a new epoch goes on with the words met again, at most half of a list: the most met, then the oldest
+                again = np.flatnonzero(met > 1)
+                stays = np.sort(again[np.argsort(-met[again], kind="stable")[: epoch_words // 2]])
+                words = list(islice(known, len(whole), None))
+                words, known = [words[i] for i in stays], None  # the old list goes before the new one is made
+                known, met = _Known(whole, first, words), np.ones(len(stays), np.int64)
+            codes, fresh = [], []
+            for text in part.column(1).to_pylist():
+                known.new = []
+                codes.append(array("i", map(known.__getitem__, find(text or ""))).tobytes())
+                fresh.append(known.new)
+            seen = np.frombuffer(b"".join(codes), np.int32)
+            count = np.bincount(seen[seen >= first] - first, minlength=len(known) - len(whole))
+            count[: len(met)] += met
+            met = count
+            held = [stays.astype(np.int32).tobytes() if stays is not None else None] + [None] * (part.num_rows - 1)
+            columns = [part.column(0), pa.array(held, pa.binary()), pa.array(codes, pa.binary()), pa.array(fresh, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["kept", "held", "codes", "words"])
 
     return run
 
@@ -285,16 +336,18 @@ def _filled(ranks, finish, names: list[str]):
     """The rows with the folded words' ids in their places; finish turns a row's lists of ids into columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, epoch, words = ranks.value[1], -1, None
-        for batch in batches:
+        words = finish(ranks.value[1])
+        for batch in slices(batches):
             folded, out = batch.column(3), []
             ends, inner = np.asarray(folded.offsets), folded.values
-            bounds, flat = np.asarray(inner.offsets), np.asarray(inner.values)
-            for k, (now, codes) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                if now != epoch:
-                    epoch, words = now, finish(tokens)
-                for w in range(ends[k], ends[k + 1]):
-                    words.add(flat[bounds[w] : bounds[w + 1]].tolist())
+            at = ends[0]
+            bounds = np.asarray(inner.offsets)[at : ends[-1] + 1].tolist()
+            flat = np.asarray(inner.values)[bounds[0] : bounds[-1]].tolist()
+            for k, (held, codes) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if held is not None:
+                    words.keep(np.frombuffer(held, np.int32).tolist())
+                for w in range(ends[k] - at, ends[k + 1] - at):
+                    words.add(flat[bounds[w] - bounds[0] : bounds[w + 1] - bounds[0]])
                 out.append(words.row(np.frombuffer(codes, np.int32).tolist()))
             columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(finish.kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
@@ -302,13 +355,20 @@ def _filled(ranks, finish, names: list[str]):
     return run
 
 
+def _only(values: list, first: int, held: list[int]) -> list:
+    return values[:first] + [values[first + i] for i in held]
+
+
 class _Ids:
     """Finishes a row as its array of ids; words by number, first the tokens."""
 
     kinds = (pa.list_(pa.int32()),)
 
     def __init__(self, tokens: tuple[bytes, ...]) -> None:
-        self.ids = [[i] for i in range(len(tokens))]
+        self.first, self.ids = len(tokens), [[i] for i in range(len(tokens))]
+
+    def keep(self, held: list[int]) -> None:
+        self.ids = _only(self.ids, self.first, held)
 
     def add(self, ids: list[int]) -> None:
         self.ids.append(ids)
@@ -323,17 +383,20 @@ class _Digests:
     kinds = (pa.int64(), pa.string(), pa.string())
 
     def __init__(self, tokens: tuple[bytes, ...]) -> None:
-        self.tokens, self.sizes, self.texts, self.bytes = tokens, [1] * len(tokens), [str(i) for i in range(len(tokens))], list(tokens)
+        self.first, self.texts, self.bytes = len(tokens), [b"%d" % i for i in range(len(tokens))], list(tokens)
+
+    def keep(self, held: list[int]) -> None:
+        self.texts, self.bytes = _only(self.texts, self.first, held), _only(self.bytes, self.first, held)
 
     def add(self, ids: list[int]) -> None:
-        self.sizes.append(len(ids))
-        self.texts.append(" ".join(map(str, ids)))
-        self.bytes.append(b"".join(map(self.tokens.__getitem__, ids)))
+        texts, own = self.texts, self.bytes  # ids are tokens, which come first in both
+        self.texts.append(b" ".join([texts[i] for i in ids]))
+        self.bytes.append(b"".join([own[i] for i in ids]))
 
     def row(self, codes: list[int]) -> tuple:
-        ids = " ".join(map(self.texts.__getitem__, codes)).encode()
+        ids = b" ".join(map(self.texts.__getitem__, codes))
         data = b"".join(map(self.bytes.__getitem__, codes))
-        return sum(map(self.sizes.__getitem__, codes)), hashlib.sha256(ids).hexdigest(), hashlib.sha256(data).hexdigest()
+        return ids.count(b" ") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(data).hexdigest()
 
 
 def _coded(kept: Column, text: Column, docs: DataFrame, ranks_path: str, pattern: str, finish, schema: str, epoch_words: int) -> DataFrame:
@@ -343,17 +406,20 @@ def _coded(kept: Column, text: Column, docs: DataFrame, ranks_path: str, pattern
     for rank, token in enumerate(merges.tokens):
         with suppress(UnicodeDecodeError):  # a part of a character is no piece
             whole[token.decode()] = rank
-    ranks = docs.sparkSession.sparkContext.broadcast((whole, merges.tokens))  # the vocabulary
-    rows = docs.select(kept.alias("kept"), text.cast("string").alias("text"))
+    spark = docs.sparkSession
+    ranks = spark.sparkContext.broadcast((whole, merges.tokens))  # the vocabulary
+    # each task folds its words anew: fewer and longer tasks fold less
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    rows = docs.select(kept.alias("kept"), text.cast("string").alias("text")).coalesce(tasks)
     kind = rows.schema["kept"].dataType
-    cut = T.StructType([T.StructField("kept", kind)] + T.StructType.fromDDL("epoch int, codes binary, words array<string>").fields)
+    cut = T.StructType([T.StructField("kept", kind)] + T.StructType.fromDDL("held binary, codes binary, words array<string>").fields)
     out = T.StructType([T.StructField("kept", kind)] + T.StructType.fromDDL(schema).fields)
     pieces = rows.mapInArrow(_cut(pattern, ranks, epoch_words), cut)
-    folded = pieces.select("kept", "epoch", "codes", Folding(merges).words(F.col("words")).alias("folded"))
+    folded = pieces.select("kept", "held", "codes", Folding(merges).words(F.col("words")).alias("folded"))
     return folded.mapInArrow(_filled(ranks, finish, out.names), out)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", epoch_words: int = 300_000) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", epoch_words: int = 600_000) -> DataFrame:
     """Adds the ids of every whole text; `epoch_words` bounds a task's list of words."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     return _coded(row, F.col(text), docs, ranks_path, pattern, _Ids, "ids array<int>", epoch_words).select("kept.*", F.col("ids").alias(ids))
@@ -365,7 +431,7 @@ def decode(ids: Column, ranks_path: str) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(tokens, i)), ""))
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str, epoch_words: int = 300_000) -> DataFrame:
+def digests(docs: DataFrame, ranks_path: str, pattern: str, epoch_words: int = 600_000) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     out = _coded(F.col("doc_id"), F.col("text"), docs, ranks_path, pattern, _Digests, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", epoch_words)
     return out.withColumnRenamed("kept", "doc_id")

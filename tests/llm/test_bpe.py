@@ -1,12 +1,16 @@
 import hashlib
 import random
 import time
+from types import SimpleNamespace
 
 import public_tokenizers
+import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
 from isohypse.llm import bpe
+from isohypse.llm._arrow import _ROWS
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -68,3 +72,34 @@ def test_columns_with_helpers_names_are_passed_on(spark):
 
 def test_empty_table(empty):
     assert bpe.digests(empty, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def _batches(texts):
+    return iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["kept", "text"])])
+
+
+def test_words_met_again_are_not_folded_again():
+    merges = bpe.read_ranks(PATH)
+    ranks = SimpleNamespace(value=({t.decode(): i for i, t in enumerate(merges.tokens) if t.isascii()}, merges.tokens))
+    common = [f" qzxw{chr(97 + i)}jk" for i in range(20)]
+    # each slice of rows has the common words twice and fills the list with rare ones
+    texts = ["".join(common) * 2 + "".join(f" vrare{chr(97 + k)}zq{chr(97 + j)}x" for j in range(20)) if i == 0 else None for k in range(6) for i in range(_ROWS)]
+    out = list(bpe._cut(public_tokenizers.PATTERN, ranks, 40)(_batches(texts)))
+    folded = [w for b in out for row in b.column(3).to_pylist() for w in row]
+    assert [folded.count(w) for w in common] == [1] * 20 and len(folded) == 20 + 6 * 20
+    assert sum(h is not None for b in out for h in b.column(1).to_pylist()) == 5
+
+
+def test_tasks_are_few(spark):
+    docs = spark.range(64).repartition(64).selectExpr("id AS doc_id", "'some text' AS text")
+    few = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    assert bpe.digests(docs, PATH, public_tokenizers.PATTERN).select(F.spark_partition_id().alias("k")).distinct().count() <= few
+
+
+def test_latin_texts_are_cut_by_the_faster_engine_alike():
+    fast, slow = bpe._latin(public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN).findall
+    points = [chr(c) for c in range(256)]
+    texts = [f"a{x}1{y} {x}'s{y}{x}\n {y}  {x}" for x in points for y in points]
+    assert all(fast(t) == slow(t) for t in texts)
+    assert bpe._latin(r"(?i:'s)|\p{L}+") is None and bpe._latin(r"\p{Lu}+") is None and bpe._latin(r"[^\S\r]+") is None
+    assert bpe._finder(public_tokenizers.PATTERN)("日本 ٠") == slow("日本 ٠")
