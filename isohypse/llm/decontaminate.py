@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._arrow import lists, map_batches
+from ._arrow import lists, map_batches, slices
 
 #: Bytes that are no part of a word become spaces, A-Z become a-z.
 _TABLE = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -163,7 +163,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: in
         one = sent[0]
 
         def kept(batches):
-            for batch in batches:
+            for batch in slices(batches):
                 automaton, any_window = _automaton(*one.value, size)
                 got = [scan(t, automaton, any_window) for t in lists(batch, "text")[0]]
                 yield batch.filter(pa.array([not (h and 20 * len(h) >= n) for n, h, _ in got], pa.bool_()))

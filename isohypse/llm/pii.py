@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import lists, map_batches
+from ._arrow import lists, map_batches, slices
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind, start, end
@@ -250,7 +250,7 @@ def fit(docs: DataFrame, sample: int = 2000) -> Field:
             out["skip"].append([i for pair in _links(tokens) for i in pair])
         return out
 
-    got = map_batches(part, rows, "x array<int>, y array<int>, chain array<int>, skip array<int>").collect()
+    got = map_batches(part, rows, "x array<int>, y array<int>, chain array<int>, skip array<int>", sliced=True).collect()
     return learn([([r.x[i : i + 12] for i in range(0, len(r.x), 12)], r.y, [(i - 1, i) for i in r.chain], list(zip(r.skip[::2], r.skip[1::2], strict=True))) for r in got])
 
 
@@ -319,7 +319,7 @@ def redact(docs: DataFrame, **limits) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, **limits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [redacted(t, all_spans(t, sent.value)[1]) for t in lists(batch, "text")[0]]
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
