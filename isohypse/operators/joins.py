@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.strings import fold_name
-from .parity import points_in_areas
+from .parity import least_areas, points_in_areas
 
 
 def assemble_ways(refs: DataFrame, nodes: DataFrame, *order: str) -> DataFrame:
@@ -54,12 +54,14 @@ def holes_to_shells(holes: DataFrame, shells: DataFrame, cell: float | None = No
     """hole_id, shell_id: the smallest shell that holds a hole's first vertex, of equal ones that of the smallest id; stray holes go.
 
     Sizes are compared as floats, as areas of equal shells differ in their last digits.
+    Shells of one ring count once, and so do first vertices at one place; places don't meet
+    all shells around them.
     """
     points = holes.select("hole_id", F.get("ring", 0).x.alias("x"), F.get("ring", 0).y.alias("y"))
-    areas = shells.select(F.col("shell_id").alias("area_id"), F.array("ring").alias("rings"))
-    sizes = shells.select(F.col("shell_id").alias("area_id"), F.abs(geo.signed_double_area(F.col("ring"))).cast("float").alias("_size"))
-    met = points_in_areas(points, areas, cell).join(sizes, "area_id")
-    return met.groupBy("hole_id").agg(F.min(F.struct("_size", "area_id")).alias("_best")).select("hole_id", F.col("_best.area_id").alias("shell_id"))
+    size = F.abs(geo.signed_double_area(F.col("ring"))).cast("float").alias("_size")
+    areas = shells.groupBy("ring").agg(F.min("shell_id").alias("shell_id")).select(F.struct(size, "shell_id").alias("area_id"), F.array("ring").alias("rings"))
+    met = points.join(least_areas(points, areas, cell), ["x", "y"])
+    return met.groupBy("hole_id").agg(F.min("area_id").alias("_best")).select("hole_id", F.col("_best.shell_id").alias("shell_id"))
 
 
 def evidence_density(points: DataFrame, faces: DataFrame, cell: float | None = None, share: float = 0.1) -> DataFrame:
